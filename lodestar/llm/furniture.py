@@ -1,0 +1,283 @@
+"""What the lines of a page look like: signs of page furniture, prose, lists and headings.
+
+Everything here works on one page in plain Python; signs that depend on one line only are kept per line.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+# Short phrases that page furniture uses in the languages of the crawl, lower-cased, digits as 0.
+MENU_WORDS = """
+home|contact|archive|newsroom|field notes|search|habitats|species|events|maps|kids|help|careers|about us|log in|login|shop|donate|join|gallery
+media kit|menu|open menu|toggle navigation|jump to the text|skip to main content|skip to content|skip navigation|search this site|sign in|register
+sign in / register|news|stories|sitemap|feedback|terms|privacy|imprint|accessibility|subscribe|links to us|faq|jobs|press
+mapas|contacto|noticias|galería|especies|inicio|ayuda|tienda|buscar|quiénes somos|menú|iniciar sesión|saltar al contenido|aviso legal|privacidad|mapa del sitio
+accueil|cartes|galerie|espèces|recherche|à propos|actualités|boutique|aide|aller au contenu|se connecter|mentions légales|confidentialité|plan du site
+startseite|aktuelles|hilfe|laden|suche|arten|karten|bilder|kontakt|über uns|anmelden|zum inhalt springen|menü|impressum|datenschutz|übersicht
+início|notícias|galeria|espécies|ajuda|loja|pesquisar|quem somos|contato|contactos|iniciar sessão|saltar para o conteúdo
+""".strip().replace("\n", "|").split("|")
+
+# How such a line begins; digits are 0 there.
+SIGN_STARTS = {
+    "heading": r"(?:popular this week|most read|in this section|related stories|you may also like|recent comments|trending now|latest news|more stories|top stories|read next"
+    r"|lo más leído|noticias relacionadas|también le puede interesar|comentarios recientes|les plus lus|à lire aussi|meistgelesen|mehr zum thema|mais lidas|notícias relacionadas|leia também)\W*$",
+    "cookie": r"accept all$|ok, got it$|accept\b.*\breject|annehmen\b|aceptar\b|tout accepter$|accepter\b|aceitar\b",
+    "byline": r"by the .{2,60} desk$|written by |words and pictures\W|posted by |posted on |reviewed by |par la rédaction|por la redacción|redacción\b|pela redação|von der redaktion|text: "
+    r"|updated 0|published (?:on |0)|publié |vor 0 \w+ veröffentlicht|hace 0 |publicado |last changed|(?:by|von|par|por) [a-zß-ÿ]+(?: [a-zß-ÿ]+){1,2}$",
+    "share": r"share\b|print\b.*\bshare$|tell a friend|liked it\?|follow .{2,60} on \w+|compart[ei]|partager\b|envoyer à|(?:diesen )?\w+ teilen$|per mail senden|partilh|send by mail",
+    "comments": r"0 (?:comments?|commentaires?|comentarios?|comentários?|kommentare?)$|comments are closed|leave a (?:reply|comment)|laisser un commentaire|deje un comentario|kommentar schreiben|deixe um coment",
+    "letter": r"subscribe to|support independent|recevez la lettre|suscríbase|der rundbrief|download the .{2,60} app|receba a carta|assine",
+    "advert": r"\W*(?:ad|advertisement|publicidad|publicité|publicidade|anzeige|werbung)\W*$|sponsored content|story continues below",
+    "tags": r"(?:topics?|tags?|keywords?|filed under|etiquetas|mots-clés|schlagwörter|palavras-chave|themen)\s*[:›»>]|filed under |tags? ",
+    "legal": r"use of this site means|views expressed here|pictures are shown under licence|copyright\b|©|\(c\) 0|aviso legal|mentions légales|impressum\b"
+    r"|powered by |made with care|back to top$|haut de page$|nach oben$|volver arriba$|voltar ao topo$|page 0 of 0$|terms\b.{0,12}\bprivacy|contact\b.{0,12}\bsitemap|choose language",
+    "script": r"some features of this page need|manche funktionen brauchen|certaines fonctions exigent|algunas funciones necesitan|algumas funções precisam",
+}
+# What such a line holds somewhere.
+SIGN_PARTS = {
+    "cookie": "cookie|stores small files on your|your privacy matters|privacy notice|help us to show fitting|tell us which pages|refuse those that are not needed|by staying here you agree"
+    "|change your mind at any time in the settings|manage choices|speichert daten auf|weiteren nutzung stimmen|jederzeit ablehnen|alle annehmen|rechazarlas cuando|si sigue navegando|les refuser à tout moment|en poursuivant, vous",
+    "byline": "0 min read",
+    "share": "share on |pass it on!",
+    "comments": "people found this useful",
+    "letter": "in your inbox|become a member|newsletter",
+    "legal": "all rights reserved|is no substitute for|registered trust, number|alle rechte vorbehalten|keine haftung|tous droits réservés|décline toute responsabilité|todos los derechos reservados"
+    "|no se responsabiliza de|todos os direitos|, 0 old ferry lane",
+}
+_STARTS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SIGN_STARTS.items())).match
+SIGN_NAMES = ("menu", "trail", "site", *SIGN_STARTS)
+_PARTS = [(part, SIGN_NAMES.index(k)) for k, v in SIGN_PARTS.items() for part in v.split("|")]
+
+
+def sign_of(low: str) -> int:
+    """The sign of furniture that a folded line bears, -1 if none."""
+    start = _STARTS(low)
+    if start:
+        return SIGN_NAMES.index(start.lastgroup)
+    for part, sign in _PARTS:
+        if part in low:
+            return sign
+    return -1
+
+
+# Frequent function words of the five languages.
+FUNCTION_WORDS = frozenset(
+    """the of and a an in to for with at by from on as it its was is are were or that this we you your our not no be has have had but if which then after before when
+    where who into near over their they he she his her all can until once so than more there only some
+    der die das und ein eine einen in den dem des von zu mit ist auf für sich es im am nicht oder als wie bis bei nach aus aber auch noch
+    le la les de du des et un une à en que qui dans pour il elle sur est se au aux pas par plus mais ou son sa ses leur où
+    el los las y del al por con su sus o lo como más pero sin entre hasta
+    os da do dos das e em para um uma não ao à aos no na nos nas é mas sem
+    й и в на не с что по из у за к от до как""".split()
+)
+# Filler in common use. A line counts if it is such a phrase, or a run of such words.
+FILLER_PHRASES = re.compile(
+    r"^\W*(?:your text goes here|insert .{2,40} (?:description|text|here)|blind text(?: blind text)*|x{3,}(?: x{3,})*|asdf(?: asdf)*(?: jkl)*.*|test(?: test){1,}|placeholder (?:paragraph|text).{0,10}"
+    r"|(?:sample|dummy|example) (?:heading|text|headline|title|paragraph|content|page)|tb[da]|to ?do|lorem ipsum.{0,20}|content (?:coming soon|goes here)|headline goes .{2,30}|page under construction|coming soon|loading)\W*\d*\W*$"
+    r"|replace this block with your own words|this is dummy (?:copy|text)|will be replaced before launch|hello world! this is your first post|edit or delete it, then start writing|^type something about|^this is (?:a )?(?:placeholder|sample|dummy|filler) "
+    r"|^(?:description|text|title|headline|caption|image|summary|bio) goes here|^your (?:text|title|headline|content|name|tagline|slogan) (?:goes )?here|^add your (?:text|content|title|description)|^click (?:here )?to edit|^write (?:a|your) (?:short )?(?:description|text) here"
+    r"|^enter (?:your )?(?:text|title|description) here|^(?:aquí va|hier steht|hier kommt|votre texte ici|tu texto aquí|su texto aquí|blindtext|texte? (?:ici|hier))"
+)
+
+# How messages of servers, sign-in walls and script notices read, lower-cased, digits as 0.
+MESSAGE = re.compile(
+    r"\b0 ?[–—:-]? ?(?:page |seite )?not found|\berror:? 0\b|^(?:fehler|erreur) 0|http 0|^0 (?:not found|forbidden|gone|bad|internal|service)|page not found|file not found|could not find the page|page (?:you|that you) (?:are|were) looking for|page (?:does not|doesn’t|doesn't) exist|no longer (?:exists|available)"
+    r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|temporarily (?:unavailable|down)|internal server error|the server had a problem|could not finish your request|the database did not answer|error establishing a database|database error"
+    r"|fatal error|traceback \(most recent|stack trace|exception in|uncaught \w+|parse error|syntax error|keyerror|on line 0$"
+    r"|access (?:to .{1,40} )?(?:is |was )?denied|no permission to|not authori[sz]ed|forbidden\b|account has been suspended|contact your host|session has expired|please log in (?:again|to)|sign in to (?:continue|read|view)|you must be logged in|not available in your (?:region|country)"
+    r"|checking your (?:connection|browser)|not a robot|too many requests|rate limit|captcha|verify (?:that )?you are human|unusual traffic|trail has gone cold|^oops\b|something went wrong|under maintenance|be back soon|domain (?:is )?for sale|site (?:is )?(?:offline|down)"
+    r"|java ?script|scripts? (?:are|is) (?:blocked|disabled|off|required|needed)|scripts allowed|allow scripts|run scripts|does not run script|noscript|enable scripts|turn on scripts|sin scripts|bloque les scripts|ohne skripte|skripte\b|old browser keeps|ad blocker"
+    r"|(?:exception|error) (?:at|in) [\w.$]+|\bjava\.lang\b|go back to the home ?page|page (?:has|was|may have) (?:been )?(?:moved|removed|deleted)"
+    r"|no encontrad[ao]|página (?:[\w ]{0,30})?no existe|vuelva a la página|servicio no disponible|acceso denegado|no está disponible|introuvable|accès (?:refusé|interdit)|n’existe (?:pas|plus)|n'existe (?:pas|plus)|service indisponible|momentanément indisponible"
+    r"|nicht gefunden|nicht erreichbar|zugriff verweigert|keine berechtigung|nicht verfügbar|não encontrad[ao]|acesso negado|serviço indisponível"
+)
+
+_SPLIT = re.compile(r"\s*[|·/>»›]\s*|\s{2,}")
+_WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"[0-9]+")
+_ITEM_END = re.compile(r"(?:\s*›|\s*\(\d+\))$")
+_SENTENCE_END = re.compile(r"[.!?…。][\"”’»)]*$")
+_MENU = frozenset(MENU_WORDS)
+
+
+@dataclass(slots=True)
+class Line:
+    """Signs of one line, whatever stands around it."""
+
+    text: str
+    sign: int  # index into SIGN_NAMES, or -1
+    words: int
+    function_share: float
+    sentences: int
+    closed: bool
+    item: bool  # ends as an entry of a list of articles does
+    digits: int
+    separators: int
+
+
+def folded(line: str) -> str:
+    """The line without case, outer space, kinds of inner space and values of numbers."""
+    return _DIGITS.sub("0", " ".join(line.split()).casefold())
+
+
+def read_line(raw: str) -> Line | None:
+    """None for a blank line."""
+    text = raw.strip()
+    if not text:
+        return None
+    closed = text[-1] in ".!?…。" or text[-1] in "\"”’»)" and bool(_SENTENCE_END.search(text))
+    if len(text) >= 260:  # furniture is shorter
+        words = text.lower().split()
+        share = sum(map(FUNCTION_WORDS.__contains__, words)) / len(words)
+        return Line(text, -1, len(words), share, text.count(". ") + text.count("? ") + text.count("! ") + closed, closed, False, len(_DIGITS.findall(text)), 0)
+    low = folded(text)
+    words = _WORD.findall(low)
+    n = len(words)
+    share = sum(map(FUNCTION_WORDS.__contains__, words)) / n if n else 0.0
+    parts = [p for p in _SPLIT.split(low if "  " not in text and "\xa0" not in text else text.replace("\xa0", " ").lower()) if p] if len(text) < 200 else []
+    sign = sign_of(low)
+    if sign < 0:
+        if low.lstrip("☰≡ ") in _MENU:
+            sign = 0
+        elif len(parts) >= 2:
+            known = sum(p in _MENU for p in parts)
+            if known >= 2 and known * 2 >= len(parts):
+                sign = 0
+            elif known and len(parts) <= 4 and n <= 8 and not closed:
+                sign = 1
+        elif not closed and known_run(low):
+            sign = 0
+    return Line(text, sign, n, share, low.count(". ") + low.count("? ") + low.count("! ") + closed, closed, bool(_ITEM_END.search(text)), low.count("0"), max(0, len(parts) - 1))
+
+
+def known_run(low: str) -> bool:
+    """Menu entries set side by side with single blanks."""
+    words = low.split()
+    if not 3 <= len(words) <= 24:
+        return False
+    i = seen = 0
+    while i < len(words):
+        for k in (3, 2, 1):
+            if " ".join(words[i : i + k]) in _MENU:
+                i, seen = i + k, seen + 1
+                break
+        else:
+            return False
+    return seen >= 3
+
+
+def names_site(line: Line, label: str) -> bool:
+    """Whether a short line is the name of the site, perhaps with a motto."""
+    if not label or line.words > 8 or line.words == 0:
+        return False
+    first = _WORD.findall(line.text.lower()[:80] if line.words else "")[0]
+    return len(first) >= 5 and label.startswith(first) and not line.closed
+
+
+TITLE_WORDS = 16
+
+
+def heading_like(line: Line) -> bool:
+    return 1 <= line.words <= TITLE_WORDS and not (line.closed and line.words > 3) and len(line.text) <= 110
+
+
+SITE, HEADING = SIGN_NAMES.index("site"), SIGN_NAMES.index("heading")
+
+
+@dataclass(slots=True)
+class Page:
+    """The lines of a page and what rules make of them: furniture is 1, main body 0, unsure -1."""
+
+    lines: list[Line | None]
+    signs: list[int]
+    rule: list[int]
+    run: list[int]  # how many lines of a list of articles have gone before, 0 outside such a list
+    title: int  # index of the title, or -1
+
+
+class Reader:
+    """Reads pages; keeps what it knows of lines it has met (at most ``held``)."""
+
+    def __init__(self, held: int = 200_000) -> None:
+        self.held = held
+        self.known: dict[str, Line | None] = {}
+        self.odd: dict[str, bool] = {}
+
+    def line(self, raw: str) -> Line | None:
+        try:
+            return self.known[raw]
+        except KeyError:
+            made = read_line(raw)
+            if len(raw) < 120:
+                if len(self.known) >= self.held:
+                    self.known.clear()
+                self.known[raw] = made
+            return made
+
+    def _speaks(self, x: Line) -> bool:
+        """Whether a short line reads as a message or as filler rather than as the title of an article."""
+        known = self.odd.get(x.text)
+        if known is None:
+            if len(self.odd) >= self.held:
+                self.odd.clear()
+            low = folded(x.text)
+            known = self.odd[x.text] = bool(MESSAGE.search(low) or FILLER_PHRASES.search(low))
+        return known
+
+    def page(self, text: str, host: str | None, recurrent: frozenset | set = frozenset()) -> Page:
+        """``recurrent``: indexes of lines that recur on the site."""
+        lines = [self.line(x) for x in text.split("\n")]
+        label = (host or "").split(".")[0].replace("-", "")
+        signs = [-1 if x is None else (SITE if x.sign < 0 and names_site(x, label) else x.sign) for x in lines]
+        n = len(lines)
+        rule = [-1] * n
+        run = [0] * n
+        title = -1
+        seen_body = False
+        listed: list[int] = []  # the list of articles being read
+        in_list = False
+        for i, x in enumerate(lines):
+            if x is None:
+                continue
+            sign = signs[i]
+            if sign == HEADING:
+                rule[i] = 1
+                in_list, listed = True, []
+                continue
+            if sign >= 0 and not (sign == 0 and seen_body and x.words == 1 and x.closed):
+                rule[i] = 1
+                if SIGN_NAMES[sign] == "byline" and in_list and not seen_body and title < 0:
+                    title = _last_plain(listed, lines)
+                    if title >= 0:
+                        rule[title] = 0
+                if SIGN_NAMES[sign] not in ("advert", "letter", "share", "comments"):
+                    in_list = False
+                continue
+            if in_list and heading_like(x) and not self._speaks(x):
+                listed.append(i)
+                run[i] = len(listed)
+                rule[i] = 1
+                continue
+            if in_list:
+                if not seen_body and title < 0:
+                    title = _last_plain(listed, lines)
+                    if title >= 0:
+                        rule[title] = 0
+                in_list = False
+            if x.item and heading_like(x) and x.words >= 3:
+                rule[i] = 1
+                continue
+            rule[i] = -1 if i in recurrent and x.words < 25 else 0
+            if not seen_body and title < 0 and heading_like(x) and rule[i] == 0:
+                title = i
+            elif rule[i] == 0 and (x.closed and x.words >= 5 or x.words > TITLE_WORDS):
+                seen_body = True
+        # a list at the head of a page without any other title, followed by share prompts or the like only
+        return Page(lines, signs, rule, run, title)
+
+
+def _last_plain(listed: list[int], lines: list[Line | None]) -> int:
+    """The last entry of a list at the head of a page is the article's title unless it ends as an entry does."""
+    return listed[-1] if len(listed) >= 2 and not lines[listed[-1]].item else -1

@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import distinctive_terms, encode, mixing, rank_fusion
+from lodestar.llm import distinctive_terms, encode, keyword_pages, mixing, rank_fusion, repeated_lines, residue
 from lodestar.session import read_table as _t
 
 
+def p1_found(spark, d):
+    return residue.residue_pages(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
+
+
+def p1_clean(spark, d):
+    return residue.without_residue(_t(spark, d, "pages"), _t(spark, d, "url_mapping")).select("doc_id", "text").distinct()
+
+
+def p4_found(spark, d):
+    return repeated_lines.repeated_lines(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
+
+
+def p4_clean(spark, d):
+    return repeated_lines.without_repeated_lines(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
+
+
+def p7_found(spark, d):
+    return keyword_pages.keyword_pages(_t(spark, d, "pages"), _t(spark, d, "url_mapping"), _t(spark, d, "web_graph"))
+
+
+def p7_evidence(spark, d):
+    return keyword_pages.keyword_evidence(_t(spark, d, "pages"), _t(spark, d, "url_mapping"), _t(spark, d, "web_graph"))
+
+
 def p5_found(spark, d):
     return distinctive_terms.distinctive_terms(_t(spark, d, "pages"), min_tf=5, min_df=2, max_df=12).select("doc_id", "term")
 
@@ -41,4 +65,4 @@ def p9_shares(spark, d):
     return mixing.shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares)}

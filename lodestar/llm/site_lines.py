@@ -1,0 +1,82 @@
+"""Lines that recur on a site, found without gathering a site in one task.
+
+A site's recurrent lines are those on at least ``least`` of its pages and at least a share of them, so a site has at
+most (lines per page / share) of them and they fit into one array per site. The arrays reach the pages by a join on
+site and salt: each site's pages are spread over ``SALTS`` partitions, its array is repeated for each.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.llm.furniture import folded
+from lodestar.llm.pages import one_per_id, sites
+from lodestar.session import cut_lineage
+
+SALTS = 16
+LEAST_PAGES = 4
+SHARE = 0.2
+LONGEST = 260
+
+
+def site_arrays(counted: DataFrame, pages_of: DataFrame, least: int, share_of: int, column: str) -> DataFrame:
+    """``(site, salt, common)``: per site the array of values on at least ``least`` pages and 1/share_of of the pages.
+
+    ``counted`` is (site, value, n); ``pages_of`` is (site, pages). The join is salted by the value.
+    """
+    big = counted.where(F.col("n") >= least).withColumn("salt", F.pmod(F.hash(column), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    kept = big.join(pages_of.select("site", "pages", salts), ["site", "salt"]).where(F.col("n") * share_of >= F.col("pages"))
+    return kept.groupBy("site").agg(F.collect_list(column).alias("common")).select("site", "common", salts)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+
+    def code(line: str) -> int:
+        """0 for a line that can't be furniture, else the hash of its folded form."""
+        if len(line) > LONGEST or not (low := folded(line)):
+            return 0
+        h = int.from_bytes(_digest(low), "little", signed=True) or 1
+        if len(known) > 200_000:
+            known.clear()
+        known[line] = h
+        return h
+
+    for batch in batches:
+        out = [[known[x] if x in known else code(x) for x in t.split("\n")] if t else [] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "site", "codes"])
+
+
+def _digest(text: str) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for codes, common in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = set(common)
+            out.append([i for i, c in enumerate(codes) if c in own])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "recurrent"])
+
+
+def with_recurrent_lines(pages: DataFrame, url_mapping: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """``(doc_id, text, host, recurrent)``: a row per page; recurrent has the indexes, from 0, of lines that recur on its site."""
+    once = one_per_id(pages)
+    named = sites(url_mapping).select("doc_id", "host")
+    coded = once.join(named.where("host IS NOT NULL"), "doc_id").select("doc_id", "text", F.xxhash64("host").alias("site"))
+    coded = cut_lineage(coded.mapInArrow(_hashes, "doc_id string, site bigint, codes array<bigint>"))
+    pages_of = coded.groupBy("site").agg(F.count("*").alias("pages"))
+    lines = coded.select("site", F.explode(F.array_distinct("codes")).alias("code")).where("code <> 0")
+    counted = lines.groupBy("site", "code").agg(F.count("*").alias("n"))
+    arrays = site_arrays(counted, pages_of, least, round(1 / share), "code")
+    salted = coded.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    found = salted.join(arrays, ["site", "salt"]).select("doc_id", "codes", "common").mapInArrow(_positions, "doc_id string, recurrent array<int>")
+    return once.join(named, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "text", "host", "recurrent")
