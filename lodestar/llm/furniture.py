@@ -113,7 +113,7 @@ class Line:
     sentences: int
     closed: bool
     item: bool  # ends as an entry of a list of articles does
-    digits: int
+    digits: int  # numbers in a short line
     separators: int
 
 
@@ -131,7 +131,7 @@ def read_line(raw: str) -> Line | None:
     if len(text) >= 260:  # furniture is shorter
         words = text.lower().split()
         share = sum(map(FUNCTION_WORDS.__contains__, words)) / len(words)
-        return Line(text, -1, len(words), share, text.count(". ") + text.count("? ") + text.count("! ") + closed, closed, False, len(_DIGITS.findall(text)), 0)
+        return Line(text, -1, len(words), share, text.count(". ") + text.count("? ") + text.count("! ") + closed, closed, False, 0, 0)
     low = folded(text)
     words = _WORD.findall(low)
     n = len(words)

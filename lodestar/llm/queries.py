@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import distinctive_terms, encode, keyword_pages, mixing, rank_fusion, repeated_lines, residue
+from lodestar.llm import distinctive_terms, encode, keyword_pages, main_body, mixing, mojibake, rank_fusion, repeated_lines, residue
 from lodestar.session import read_table as _t
 
 
@@ -16,6 +16,14 @@ def p1_clean(spark, d):
     return residue.without_residue(_t(spark, d, "pages"), _t(spark, d, "url_mapping")).select("doc_id", "text").distinct()
 
 
+def p2_found(spark, d):
+    return main_body.furniture(_t(spark, d, "pages"), _t(spark, d, "url_mapping"), _t(spark, d, "web_graph"))
+
+
+def p2_bodies(spark, d):
+    return main_body.main_bodies(_t(spark, d, "pages"), _t(spark, d, "url_mapping"), _t(spark, d, "web_graph"))
+
+
 def p4_found(spark, d):
     return repeated_lines.repeated_lines(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
 
@@ -65,4 +73,12 @@ def p9_shares(spark, d):
     return mixing.shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares)}
+def p10_found(spark, d):
+    return mojibake.garbled_documents(_t(spark, d, "documents"))
+
+
+def p10_restored(spark, d):
+    return mojibake.restored(_t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}

@@ -25,12 +25,13 @@ PLACEHOLDER = re.compile(
 )
 UNFILLED = re.compile(r"\bNaN\b|(?<!\bwas )(?<!\bis )(?<!\bwere )(?<!\bare )(?<!\bbe )(?<!\bbeen )(?<!\ban )(?<!\bremains )(?<!\bleft )(?<![“\"‘'`])\bundefined\b(?![”\"’'`])")
 _EMPTY_VALUE = re.compile(r"^(?:[\w() ]{1,30}:\s*)?(?:undefined|null|nan|none|\(null\)|nil)\.?$", re.I)
-_SLOT_MARKS = re.compile(r"[{}\[\]<%$@_|]")
+_SLOT_PARTS = ("{", "[", "<", "%", "$", "@@", "__", "*|")  # no placeholder is without one of these
 
 # The commonest words of Latin filler.
 LATIN_FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris".split())
 
 RESIDUAL_WORDS = 60
+RESIDUAL_SENTENCES = 4
 
 
 def residual(page: Page) -> list[int]:
@@ -53,23 +54,29 @@ def is_filler(x: Line) -> bool:
 
 def has_residue(page: Page) -> bool:
     """Whether the residual of the page holds a placeholder or filler, or is a message."""
-    kept = residual(page)
-    message = words = 0
-    prose = 0
-    for i in kept:
-        x = page.lines[i]
-        if _SLOT_MARKS.search(x.text) and PLACEHOLDER.search(x.text):
+    kept = [page.lines[i] for i in residual(page)]
+    for x in kept:
+        text = x.text
+        if any(map(text.__contains__, _SLOT_PARTS)) and PLACEHOLDER.search(text):
             return True
-        if ("NaN" in x.text or "undefined" in x.text) and UNFILLED.search(x.text) or x.words <= 6 and _EMPTY_VALUE.match(x.text):
+        if ("NaN" in text or "undefined" in text) and UNFILLED.search(text) or x.words <= 6 and _EMPTY_VALUE.match(text):
             return True
-        if is_filler(x):
+        if (x.function_share < 0.12 or len(text) < 110 and x.words < 20) and is_filler(x):
             return True
-        if len(x.text) < 260 and MESSAGE.search(folded(x.text)):
-            message += 1
-            continue
-        words += x.words
-        prose += x.sentences
-    return message > 0 and words <= RESIDUAL_WORDS and prose <= 4
+    # messages are short lines; a page whose long lines make a body isn't one
+    words = sum(x.words for x in kept if len(x.text) >= 260)
+    prose = sum(x.sentences for x in kept if len(x.text) >= 260)
+    message = False
+    if words > RESIDUAL_WORDS or prose > RESIDUAL_SENTENCES:
+        return False
+    for x in kept:
+        if len(x.text) < 260:
+            if MESSAGE.search(folded(x.text)):
+                message = True
+            else:
+                words += x.words
+                prose += x.sentences
+    return message and words <= RESIDUAL_WORDS and prose <= RESIDUAL_SENTENCES
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,16 +67,25 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "recurrent"])
 
 
-def with_recurrent_lines(pages: DataFrame, url_mapping: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(doc_id, text, host, recurrent)``: a row per page; recurrent has the indexes, from 0, of lines that recur on its site."""
-    once = one_per_id(pages)
+def recurrent_positions(pages: DataFrame, url_mapping: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """``(doc_id, recurrent)`` of the pages of sites that have recurrent lines: the indexes, from 0, of these lines."""
     named = sites(url_mapping).select("doc_id", "host")
-    coded = once.join(named.where("host IS NOT NULL"), "doc_id").select("doc_id", "text", F.xxhash64("host").alias("site"))
+    coded = one_per_id(pages).join(named.where("host IS NOT NULL"), "doc_id").select("doc_id", "text", F.xxhash64("host").alias("site"))
     coded = cut_lineage(coded.mapInArrow(_hashes, "doc_id string, site bigint, codes array<bigint>"))
     pages_of = coded.groupBy("site").agg(F.count("*").alias("pages"))
     lines = coded.select("site", F.explode(F.array_distinct("codes")).alias("code")).where("code <> 0")
     counted = lines.groupBy("site", "code").agg(F.count("*").alias("n"))
     arrays = site_arrays(counted, pages_of, least, round(1 / share), "code")
     salted = coded.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    found = salted.join(arrays, ["site", "salt"]).select("doc_id", "codes", "common").mapInArrow(_positions, "doc_id string, recurrent array<int>")
-    return once.join(named, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "text", "host", "recurrent")
+    return salted.join(arrays, ["site", "salt"]).select("doc_id", "codes", "common").mapInArrow(_positions, "doc_id string, recurrent array<int>")
+
+
+def with_positions(pages: DataFrame, url_mapping: DataFrame, positions: DataFrame) -> DataFrame:
+    """``(doc_id, text, host, recurrent)``: a row per page."""
+    named = sites(url_mapping).select("doc_id", "host")
+    return one_per_id(pages).join(named, "doc_id", "left").join(positions, "doc_id", "left").select("doc_id", "text", "host", "recurrent")
+
+
+def with_recurrent_lines(pages: DataFrame, url_mapping: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """``(doc_id, text, host, recurrent)``: a row per page with the indexes, from 0, of lines that recur on its site."""
+    return with_positions(pages, url_mapping, recurrent_positions(pages, url_mapping, least, share))
