@@ -2,10 +2,148 @@
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 _STRIP = f"^{_SPACE}+|{_SPACE}+$"
-_ENDS = f"""ends AS (SELECT lower(regexp_replace(src, '{_STRIP}', '', 'g')) AS src, lower(regexp_replace(dst, '{_STRIP}', '', 'g')) AS dst FROM web_graph),
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '{_STRIP}', '', 'g')"
+
+
+_STOP = "('the','a','an','and','or','but','is','in','on','at','to','for','with')"
+
+
+def _words(c: str) -> str:
+    return rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))"
+
+
+_INDEX = f"""
+docs AS (SELECT doc_id, arg_max(text, (fetched_at, coalesce(text, ''))) AS text FROM pages WHERE doc_id IS NOT NULL GROUP BY doc_id),
+toks AS (SELECT doc_id, list_filter({_words("text")}, lambda x: x NOT IN {_STOP}) AS w FROM docs),
+tokrows AS (SELECT doc_id, unnest(w) AS term FROM toks),
+post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM tokrows GROUP BY ALL),
+dls AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf * tf) AS norm2 FROM post GROUP BY term),
+cst AS (SELECT CAST((SELECT count(*) FROM docs) AS DOUBLE) AS n, CAST((SELECT coalesce(sum(tf), 0) FROM post) AS DOUBLE) AS total),
+urls AS (SELECT 'page_' || id || '.txt' AS doc_id, min({_strip("url")}) AS url FROM url_mapping WHERE id IS NOT NULL AND url IS NOT NULL GROUP BY id)"""
+_ASKED = "asked AS (SELECT DISTINCT query_id, query_text FROM query_set)"
+_EDGES = """
+e AS (SELECT src, dst, count(*) AS mult FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
+nds AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+o AS MATERIALIZED (SELECT src, sum(mult) AS links FROM e GROUP BY src),
+c AS (SELECT count(*) AS c FROM nds)"""
+
+
+def _pagerank() -> str:
+    steps = [_EDGES, "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / c AS x FROM nds, c)"]
+    for k in range(1, 21):
+        p = f"r{k - 1}"
+        steps.append(
+            f"r{k} AS MATERIALIZED (SELECT nds.node, 0.15::DOUBLE / c + 0.85::DOUBLE * (SELECT coalesce(sum(x), 0) FROM {p} WHERE node NOT IN (SELECT src FROM o)) / c + 0.85::DOUBLE * coalesce(s, 0) AS x"
+            f" FROM nds CROSS JOIN c LEFT JOIN (SELECT e.dst, sum(x * mult / links) AS s FROM e JOIN o ON e.src = o.src JOIN {p} ON {p}.node = e.src GROUP BY e.dst) f ON f.dst = nds.node)"
+        )
+    return ",\n".join(steps)
+
+
+def _hits() -> str:
+    steps = [_EDGES, "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS x FROM nds)"]
+    for k in range(1, 21):
+        steps.append(f"a{k}r AS (SELECT nds.node, coalesce(s, 0)::DOUBLE AS x FROM nds LEFT JOIN (SELECT dst, sum(x * mult) AS s FROM e JOIN h{k - 1} ON node = src GROUP BY dst) f ON f.dst = nds.node)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT node, x / (SELECT coalesce(nullif(sqrt(sum(x * x)), 0), 1) FROM a{k}r) AS x FROM a{k}r)")
+        steps.append(f"h{k}r AS (SELECT nds.node, coalesce(s, 0)::DOUBLE AS x FROM nds LEFT JOIN (SELECT src, sum(x * mult) AS s FROM e JOIN a{k} ON node = dst GROUP BY src) f ON f.src = nds.node)")
+        steps.append(f"h{k} AS MATERIALIZED (SELECT node, x / (SELECT coalesce(nullif(sqrt(sum(x * x)), 0), 1) FROM h{k}r) AS x FROM h{k}r)")
+    return ",\n".join(steps)
+
+
+def _search(asked: str = _ASKED, mode: str = "hybrid", log_tf: bool = False, ranked: bool = False) -> str:
+    raw = _words("coalesce(query_text, '')")
+    terms = "raw" if log_tf else f"CASE WHEN len(list_filter(raw, lambda x: x NOT IN {_STOP})) > 0 THEN list_filter(raw, lambda x: x NOT IN {_STOP}) ELSE raw END"
+    weight = "1.0" if log_tf else "CASE WHEN pos < 2 THEN 5.0 ELSE 1.0 END"
+    tf = "(1 + log10(tf))" if log_tf else "tf"
+    norm = "1" if log_tf else "(0.1 + 0.9 * (coalesce(dl, total / n) / (total / n)))"
+    with_scores = f",\n{_pagerank()},\nscores AS (SELECT lower({_strip('node')}) AS url_key, max(x) AS pr FROM r20 GROUP BY ALL)" if ranked else ",\nscores AS (SELECT '' AS url_key, 0.0 AS pr WHERE false)"
+    order = "tf_idf" if mode == "vsm" else "score"
+    return f"""
+WITH {_INDEX}, {asked}{with_scores},
+qraw AS (SELECT query_id, {raw} AS raw FROM asked),
+qt AS (SELECT query_id, {terms} AS t FROM qraw),
+qrow AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM qt),
+qterm AS (SELECT query_id, term, n_terms, sum({weight}) AS weight, min(pos) AS first_pos FROM qrow GROUP BY ALL),
+raws AS (SELECT query_id, p.doc_id, n_terms, sum(log10(n / df) * weight * {tf}) AS s, count(*) AS matched, min(first_pos) AS first_pos
+         FROM qterm q JOIN dfs USING (term) JOIN post p USING (term), cst GROUP BY query_id, p.doc_id, n_terms),
+named AS (SELECT query_id, r.doc_id, n_terms, s / {norm} AS tf_idf, matched, first_pos, coalesce(url, r.doc_id) AS url FROM raws r LEFT JOIN dls USING (doc_id) LEFT JOIN urls USING (doc_id), cst),
+keyed AS (SELECT *, lower({_strip("url")}) AS url_key FROM named),
+once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id, url_key ORDER BY first_pos, doc_id) = 1),
+scored AS (SELECT query_id, doc_id, url, tf_idf, pow(matched / n_terms, 4) AS coordination, coalesce(pr, 0.0) AS page_rank,
+           (tf_idf + 1000 * coalesce(pr, 0.0)) * pow(matched / n_terms, 4) * CASE WHEN len(url_key) - len(replace(url_key, '/', '')) <= 3 THEN 0.3 WHEN len(url_key) - len(replace(url_key, '/', '')) >= 5 THEN 2.0 ELSE 1.0 END AS score
+           FROM once LEFT JOIN scores USING (url_key)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({order}, 9) DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT query_id, place, doc_id, url, round(score, 6) AS score, round(tf_idf, 6) AS tf_idf, round(coordination, 6) AS coordination, round(page_rank, 9) AS page_rank FROM best WHERE place <= 10"""
+
+
+_EDGE_CASES = """asked AS (SELECT * FROM (VALUES (1, 'the and for'), (2, 'wolf wolf wolf'), (3, 'heron the puma heron lynx shrike'), (4, ''), (5, NULL), (6, 'wo1f wölf ab'), (7, 'quxquux')) v(query_id, query_text))"""
+_RELATED = f"""
+kept AS (SELECT term, df, norm2 FROM dfs, cst WHERE df <= n * 0.01 AND term NOT IN {_STOP} AND len(term) >= 3),
+own AS (SELECT seed, doc_id, tf FROM seeds JOIN post ON post.term = seed),
+uu AS (SELECT seed, sum(tf * tf) AS c_uu FROM own GROUP BY seed),
+uv AS (SELECT o.seed, p.term, sum(o.tf * p.tf) * log10(any_value(n) / any_value(df)) AS c_uv, any_value(norm2) AS c_vv FROM own o JOIN post p ON p.doc_id = o.doc_id JOIN kept k ON k.term = p.term, cst WHERE p.term <> o.seed GROUP BY o.seed, p.term),
+measured AS (SELECT seed, term, c_uv AS association, c_uv / nullif(c_uu + c_vv - c_uv, 0) AS metric, c_uv / nullif(sqrt(c_uu) * sqrt(c_vv), 0) AS scalar FROM uv JOIN uu USING (seed))"""
+_SEEDS = rf"seeds AS (SELECT DISTINCT string_split_regex(lower({_strip('query_text')}), '\s+')[1] AS seed FROM query_set WHERE query_text IS NOT NULL AND {_strip('query_text')} <> '')"
+
+
+def _best(measure: str, k: int = 5) -> str:
+    return f"SELECT seed, term, {measure} AS score, row_number() OVER (PARTITION BY seed ORDER BY round({measure}, 9) DESC, term) AS place FROM measured WHERE {measure} IS NOT NULL QUALIFY place <= {k}"
+
+
+def _related(measure: str) -> str:
+    return f"WITH {_INDEX}, {_SEEDS}, {_RELATED}, best AS ({_best(measure)}) SELECT seed, place, term, round(score, 6) AS score FROM best"
+
+
+_LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+_ENDS = f"""ends AS (SELECT lower({_strip('src')}) AS src, lower({_strip('dst')}) AS dst FROM web_graph),
 sided AS (SELECT 'src' AS side, src AS url, dst AS other FROM ends UNION ALL SELECT 'dst', dst, src FROM ends)"""
+_HOST = r"nullif(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?(?:www\.)?(\[[^\]]*\]|[^/?#:]+)', 1), '')"
 
 SQL = {
+    "postings_tf": f"WITH {_INDEX} SELECT term, doc_id, tf FROM post",
+    "term_df": f"WITH {_INDEX} SELECT term, df FROM dfs",
+    "doc_lengths": f"WITH {_INDEX} SELECT doc_id, CAST(dl AS BIGINT) AS dl FROM dls",
+    "collection_stats": f"WITH {_INDEX} SELECT CAST(n AS BIGINT) AS n_docs, CAST(total AS BIGINT) AS total_len, round(total / n, 6) AS average FROM cst",
+    "search_hybrid": _search(),
+    "search_vsm": _search(mode="vsm"),
+    "search_logtf": _search(log_tf=True),
+    "search_with_pagerank": _search(ranked=True),
+    "query_edge_cases": _search(_EDGE_CASES),
+    "doc_metadata": f"""
+WITH {_INDEX}, lined AS (SELECT doc_id, {_LINES} AS l FROM docs)
+SELECT doc_id, coalesce(substring(l[1], 1, 100), 'Untitled Page') AS title, CASE WHEN len(l) > 0 THEN substring(array_to_string(l, ' '), 1, 200) || '...' ELSE 'No snippet available.' END AS snippet FROM lined""",
+    "url_keys": f"""
+WITH {_INDEX}, k AS (SELECT doc_id, lower(url) AS url_key, string_split(lower(url), '#')[1] AS anchorless, url FROM urls)
+SELECT doc_id, url_key, anchorless, {_HOST} AS host, CASE WHEN len(url_key) - len(replace(url_key, '/', '')) <= 3 THEN 0.3 WHEN len(url_key) - len(replace(url_key, '/', '')) >= 5 THEN 2.0 ELSE 1.0 END AS depth_weight FROM k""",
+    "page_links": f"SELECT src, lower(regexp_extract({_strip('dst')}, '^[A-Za-z]+:')) || regexp_replace({_strip('dst')}, '^[A-Za-z]+:', '') AS dst FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL",
+    "page_text": f"SELECT DISTINCT 'From ' || src || ' to ' || {_strip('dst')} AS text FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL",
+    "graph_stats": f"""
+WITH {_EDGES}, deg AS (SELECT node, coalesce((SELECT sum(mult) FROM e WHERE e.dst = node), 0) AS i, coalesce((SELECT sum(mult) FROM e WHERE e.src = node), 0) AS o FROM nds)
+SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, (SELECT node FROM deg ORDER BY i DESC, node LIMIT 1) AS max_in_url, CAST(max(i) AS BIGINT) AS max_in, (SELECT node FROM deg ORDER BY o DESC, node LIMIT 1) AS max_out_url, CAST(max(o) AS BIGINT) AS max_out FROM deg""",
+    "pagerank": f"WITH {_pagerank()} SELECT node AS url, round(x, 9) AS pagerank FROM r20",
+    "pagerank_top": f"WITH {_pagerank()} SELECT CAST(row_number() OVER (ORDER BY round(x, 12) DESC, node) AS INTEGER) AS place, node AS url, round(x, 9) AS score FROM r20 ORDER BY round(x, 12) DESC, node LIMIT 5",
+    "hits": f"WITH {_hits()} SELECT h20.node AS url, round(h20.x, 8) AS hub, round(a20.x, 8) AS authority FROM h20 JOIN a20 ON h20.node = a20.node",
+    "assoc_terms": _related("association"),
+    "metric_terms": _related("metric"),
+    "scalar_terms": _related("scalar"),
+    "crawl_audit": f"""
+WITH {_INDEX}, p AS (SELECT count(*) AS pages, count(*) FILTER (coalesce(strlen(text), 0) = 0) AS empty_pages, count(*) FILTER (strlen(text) BETWEEN 1 AND 99) AS small_pages FROM docs),
+g AS (SELECT count(*) FILTER (src IS NOT NULL AND dst IS NOT NULL) AS edges, count(*) FILTER (src IS NULL OR dst IS NULL) AS corrupt_edges, count(DISTINCT CASE WHEN dst IS NOT NULL THEN src END) AS unique_sources FROM web_graph)
+SELECT pages, empty_pages, small_pages, edges, corrupt_edges, unique_sources, pages < 100000 AS too_few_pages, edges > 0 AND unique_sources < 0.5 * pages AS low_coverage FROM p, g""",
+    "crawl_frontier": f"""
+WITH RECURSIVE {_ENDS.split("sided")[0].rstrip().rstrip(",")},
+seeds(url) AS (VALUES ('https://www.pridewatch.example/'), ('https://www.pridewatch.example/atlas')),
+pg AS (SELECT lower(url) AS url FROM (SELECT 'page_' || id || '.txt', min({_strip('url')}) AS url FROM url_mapping WHERE id IS NOT NULL AND url IS NOT NULL GROUP BY id) UNION SELECT url FROM seeds),
+l AS (SELECT DISTINCT src, dst FROM ends JOIN pg ON pg.url = src WHERE dst IS NOT NULL),
+walk AS (SELECT url, 0 AS level FROM seeds UNION SELECT dst, level + 1 FROM walk JOIN l ON l.src = walk.url WHERE level < 10)
+SELECT url, min(level) AS level FROM walk GROUP BY url""",
     "p3_found": f"WITH {_ENDS} SELECT side, url FROM sided WHERE url IS NOT NULL GROUP BY side, url HAVING count(*) * 50 >= (SELECT count(*) FROM ends)",
     "p3_degrees": f"WITH {_ENDS} SELECT side, url, count(*) AS n_links, count(DISTINCT other) AS n_partners FROM sided WHERE url IS NOT NULL GROUP BY side, url",
 }
+SQL["result_overlap"] = f"""
+WITH own AS (SELECT query_id, lower({_strip("url")}) AS url_key FROM ({SQL["search_hybrid"]})),
+given AS (SELECT DISTINCT query_id, lower({_strip("url")}) AS url_key FROM search_results WHERE url IS NOT NULL)
+SELECT g.query_id, count(*) AS stored, count(own.url_key) AS found FROM given g LEFT JOIN own ON own.query_id = g.query_id AND own.url_key = g.url_key GROUP BY g.query_id"""

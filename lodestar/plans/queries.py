@@ -2,8 +2,198 @@
 
 from __future__ import annotations
 
-from lodestar.operators import heavy_keys
+from pyspark.sql import functions as F
+
+from lodestar.functions import html, text
+from lodestar.functions.stem import english_stopwords, porter
+from lodestar.operators import audit, cooccurrence, graph, heavy_keys, index, ranking, rocchio
+from lodestar.plans import expansion
 from lodestar.session import read_table as _t
+from lodestar.sources import files
+
+# One query that many pages answer, for what works on one query at a time.
+QUESTION = "falcon stalked lizards near the moorland"
+
+
+def _docs(spark, d):
+    return files.documents(_t(spark, d, "pages"))
+
+
+def _index(spark, d):
+    return index.build(_docs(spark, d))
+
+
+def _urls(spark, d):
+    return files.url_map(_t(spark, d, "url_mapping"))
+
+
+def _edges(spark, d):
+    return files.edges(_t(spark, d, "web_graph"))
+
+
+def _queries(spark, d):
+    return _t(spark, d, "query_set").select("query_id", "query_text").distinct()
+
+
+def _scores(spark, d):
+    return files.link_scores(graph.pagerank(_edges(spark, d)))
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _hits(df):
+    return _rounded(df, "score", "tf_idf", "coordination").withColumn("page_rank", F.round("page_rank", 9))
+
+
+def postings_tf(spark, d):
+    return index.postings_of(index.token_table(_docs(spark, d)))
+
+
+def term_df(spark, d):
+    return _index(spark, d).term_df()
+
+
+def doc_lengths(spark, d):
+    return _index(spark, d).doc_len
+
+
+def collection_stats(spark, d):
+    made = _index(spark, d)
+    return spark.createDataFrame([(made.n_docs, made.total_len, round(made.average, 6))], "n_docs bigint, total_len bigint, average double")
+
+
+def search_hybrid(spark, d):
+    return _hits(ranking.search(_index(spark, d), _queries(spark, d), _urls(spark, d)))
+
+
+def search_vsm(spark, d):
+    return _hits(ranking.search(_index(spark, d), _queries(spark, d), _urls(spark, d), mode="vsm"))
+
+
+def search_logtf(spark, d):
+    return _hits(ranking.search(_index(spark, d), _queries(spark, d), _urls(spark, d), profile="log_tf"))
+
+
+def search_with_pagerank(spark, d):
+    return _hits(ranking.search(_index(spark, d), _queries(spark, d), _urls(spark, d), _scores(spark, d)))
+
+
+def query_edge_cases(spark, d):
+    asked = spark.createDataFrame(
+        [(1, "the and for"), (2, "wolf wolf wolf"), (3, "heron the puma heron lynx shrike"), (4, ""), (5, None), (6, "wo1f wölf ab"), (7, "quxquux")], "query_id bigint, query_text string"
+    )
+    return _hits(ranking.search(_index(spark, d), asked, _urls(spark, d)))
+
+
+def doc_metadata(spark, d):
+    return _docs(spark, d).select("doc_id", text.title(F.col("text")).alias("title"), text.snippet(F.col("text")).alias("snippet"))
+
+
+def url_keys(spark, d):
+    key = text.normalise_url(F.col("url"))
+    return _urls(spark, d).select("doc_id", key.alias("url_key"), text.anchorless(F.col("url")).alias("anchorless"), text.url_host(F.col("url")).alias("host"), text.url_depth_weight(key).alias("depth_weight"))
+
+
+def page_links(spark, d):
+    made = _edges(spark, d).select("src", F.concat(F.lit('<p>see <a class="x" href="'), text.strip(F.col("dst")), F.lit('">there</a> and <a>nowhere</a></p>')).alias("page"))
+    return made.select("src", F.explode(html.html_links("page", "src")).alias("dst"))
+
+
+def page_text(spark, d):
+    made = _edges(spark, d).select(F.concat(F.lit("<html><style>p {}</style><p>From "), F.col("src"), F.lit("<!-- no --> to <b>"), text.strip(F.col("dst")), F.lit("</b></p><script>1 < 2</script>")).alias("page"))
+    return made.select(html.html_text("page").alias("text")).distinct()
+
+
+def graph_stats(spark, d):
+    return graph.graph_stats(_edges(spark, d))
+
+
+def pagerank(spark, d):
+    return graph.pagerank(_edges(spark, d)).withColumn("pagerank", F.round("pagerank", 9))
+
+
+def pagerank_top(spark, d):
+    return graph.top_nodes(graph.pagerank(_edges(spark, d)), "pagerank").withColumn("score", F.round("score", 9))
+
+
+def hits(spark, d):
+    return graph.hits(_edges(spark, d)).withColumns({c: F.round(c, 8) for c in ("hub", "authority")})
+
+
+def _first_words(spark, d):
+    return _queries(spark, d).select(F.split(F.lower(text.strip(F.col("query_text"))), r"\s+")[0].alias("term")).where("term <> ''").distinct()
+
+
+def _related(spark, d, measure):
+    made = _index(spark, d)
+    return _rounded(cooccurrence.best_related(cooccurrence.related(made, _first_words(spark, d)), measure), "score")
+
+
+def assoc_terms(spark, d):
+    return _related(spark, d, "association")
+
+
+def metric_terms(spark, d):
+    return _related(spark, d, "metric")
+
+
+def scalar_terms(spark, d):
+    return _related(spark, d, "scalar")
+
+
+def expand_cluster(spark, d):
+    return expansion.expand_cluster(_index(spark, d), _queries(spark, d), _urls(spark, d).count(), "association")
+
+
+def _feedback(spark, d, made):
+    hits_ = ranking.search(made, ranking.one_query(made.postings, QUESTION), _urls(spark, d), top_n=3)
+    return [r.doc_id for r in hits_.orderBy("place").collect()]
+
+
+def rocchio_identity(spark, d):
+    made = _index(spark, d)
+    return _rounded(rocchio.expand(made, QUESTION, _feedback(spark, d, made), [], frozenset(("the", "near")), lambda c: c), "score")
+
+
+def rocchio_porter(spark, d):
+    made = _index(spark, d)
+    return _rounded(rocchio.expand(made, QUESTION, _feedback(spark, d, made), [], english_stopwords(), porter), "score")
+
+
+def expand_rocchio(spark, d):
+    made = _index(spark, d)
+    return spark.createDataFrame([(QUESTION, expansion.expand_query(made, _urls(spark, d), None, QUESTION))], "query string, expanded string")
+
+
+def compare_six(spark, d):
+    return expansion.compare(_index(spark, d), _docs(spark, d), _urls(spark, d), _scores(spark, d), QUESTION)
+
+
+def local_vocab(spark, d):
+    made = _index(spark, d)
+    good, _ = expansion.feedback(made, _urls(spark, d), None, QUESTION, porter, english_stopwords(), relevant=5, others=10)
+    return audit.vocabulary(made, good)
+
+
+def crawl_audit(spark, d):
+    return audit.crawl_audit(_docs(spark, d), _t(spark, d, "web_graph"))
+
+
+def crawl_frontier(spark, d):
+    links = _t(spark, d, "web_graph").select(*[text.normalise_url(F.col(c)).alias(c) for c in ("src", "dst")])
+    pages = _urls(spark, d).select(text.normalise_url(F.col("url")).alias("url"))
+    seeds = _t(spark, d, "query_set").sparkSession.createDataFrame([("https://www.pridewatch.example/",), ("https://www.pridewatch.example/atlas",)], "url string")
+    return graph.crawl_levels(links, seeds, pages.union(seeds))
+
+
+def result_overlap(spark, d):
+    """How many of each query's stored hits the engine's own ten best hold, by URL."""
+    own = ranking.search(_index(spark, d), _queries(spark, d), _urls(spark, d)).select("query_id", text.normalise_url(F.col("url")).alias("url_key"))
+    given = _t(spark, d, "search_results").where("url IS NOT NULL").select("query_id", text.normalise_url(F.col("url")).alias("url_key")).distinct()
+    both = given.join(own.withColumn("_own", F.lit(1)), ["query_id", "url_key"], "left")
+    return both.groupBy("query_id").agg(F.count("*").alias("stored"), F.count("_own").alias("found"))
 
 
 def p3_found(spark, d):
@@ -14,4 +204,11 @@ def p3_degrees(spark, d):
     return heavy_keys.url_degrees(_t(spark, d, "web_graph"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_degrees)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        postings_tf, term_df, doc_lengths, collection_stats, search_hybrid, search_vsm, search_logtf, search_with_pagerank, query_edge_cases, doc_metadata, url_keys, page_links, page_text,
+        graph_stats, pagerank, pagerank_top, hits, assoc_terms, metric_terms, scalar_terms, expand_cluster, rocchio_identity, rocchio_porter, expand_rocchio, compare_six, local_vocab,
+        crawl_audit, crawl_frontier, result_overlap, p3_found, p3_degrees,
+    )
+}
