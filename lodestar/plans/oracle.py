@@ -118,7 +118,10 @@ SELECT doc_id, coalesce(substring(l[1], 1, 100), 'Untitled Page') AS title, CASE
     "url_keys": f"""
 WITH {_INDEX}, k AS (SELECT doc_id, lower(url) AS url_key, string_split(lower(url), '#')[1] AS anchorless, url FROM urls)
 SELECT doc_id, url_key, anchorless, {_HOST} AS host, CASE WHEN len(url_key) - len(replace(url_key, '/', '')) <= 3 THEN 0.3 WHEN len(url_key) - len(replace(url_key, '/', '')) >= 5 THEN 2.0 ELSE 1.0 END AS depth_weight FROM k""",
-    "page_links": f"SELECT src, lower(regexp_extract({_strip('dst')}, '^[A-Za-z]+:')) || regexp_replace({_strip('dst')}, '^[A-Za-z]+:', '') AS dst FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL",
+    # joining lower-cases the scheme of a link only if it is that of its page
+    "page_links": f"""
+SELECT src, CASE WHEN lower(regexp_extract({_strip("src")}, '^[A-Za-z]+:')) = lower(regexp_extract({_strip("dst")}, '^[A-Za-z]+:'))
+  THEN lower(regexp_extract({_strip("dst")}, '^[A-Za-z]+:')) || regexp_replace({_strip("dst")}, '^[A-Za-z]+:', '') ELSE {_strip("dst")} END AS dst FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL""",
     "page_text": f"SELECT DISTINCT 'From ' || src || ' to ' || {_strip('dst')} AS text FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL",
     "graph_stats": f"""
 WITH {_EDGES}, deg AS (SELECT node, coalesce((SELECT sum(mult) FROM e WHERE e.dst = node), 0) AS i, coalesce((SELECT sum(mult) FROM e WHERE e.src = node), 0) AS o FROM nds)

@@ -57,7 +57,7 @@ def link_scores(scores: DataFrame) -> DataFrame:
 def documents(pages: DataFrame) -> DataFrame:
     """``(doc_id, text)``: one row per doc_id, the latest, then the one of the greatest text; NULL ids are left out."""
     newest = Window.partitionBy("doc_id").orderBy(F.col("fetched_at").desc(), F.col("text").desc())
-    before = F.lag("doc_id").over(newest)
+    before = F.lag("doc_id").over(newest)  # a filter on row_number would make Spark sort all texts before the shuffle, too
     return pages.select("doc_id", "text", "fetched_at").where("doc_id IS NOT NULL").withColumn("_before", before).where("_before IS NULL").select("doc_id", "text")
 
 
