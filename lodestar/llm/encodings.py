@@ -118,6 +118,7 @@ INNER = "’'-‐‑·ʼ­​‌‍﻿・ー"
 EDGE = INNER + "“”„‚‘«»‹›–—…¿¡°²³¹½¼¾€£¥©®™§•±×÷ªº、。「」『』（）！？：；　   →←↑↓★☆✓  ️"
 # Always looked for, whether the corpus has them or not.
 COMMON_SIGNS = "≠≈≤≥∞√−→←↑↓★☆✓•…–—‘’“”„‚«»€£¥©®™°²³½¼¾±×÷§¿¡\xa0\xad\ufeff\u200b"
+COMMON_LETTERS = "".join(c for c in map(chr, [*range(0xC0, 0x180), *range(0x400, 0x460)]) if c.isalpha())
 RARE_CYRILLIC = frozenset("ЂЃѓЉЊЌЋЏђљњќћџЎўЈјҐґЄєІіЇїЅѕ")
 
 

@@ -37,7 +37,7 @@ SIGN_STARTS = {
 }
 # What such a line holds somewhere.
 SIGN_PARTS = {
-    "cookie": "cookie|stores small files on your|your privacy matters|privacy notice|help us to show fitting|tell us which pages|refuse those that are not needed|by staying here you agree"
+    "cookie": "cookies|stores small files on your|your privacy matters|privacy notice|help us to show fitting|tell us which pages|refuse those that are not needed|by staying here you agree"
     "|change your mind at any time in the settings|manage choices|speichert daten auf|weiteren nutzung stimmen|jederzeit ablehnen|alle annehmen|rechazarlas cuando|si sigue navegando|les refuser à tout moment|en poursuivant, vous",
     "byline": "0 min read",
     "share": "share on |pass it on!",
@@ -46,6 +46,9 @@ SIGN_PARTS = {
     "legal": "all rights reserved|is no substitute for|registered trust, number|alle rechte vorbehalten|keine haftung|tous droits réservés|décline toute responsabilité|todos los derechos reservados"
     "|no se responsabiliza de|todos os direitos|, 0 old ferry lane",
 }
+# How the name of a site goes on.
+MOTTOS = (": wild lives", " – hunters of the world", " | since 0")
+_OWNER = re.compile(r"(?:©\s*\d{4}|made with care at|no part of|we use cookies to keep)\s+([^\W\d_]{5,})", re.I)
 _STARTS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SIGN_STARTS.items())).match
 SIGN_NAMES = ("menu", "trail", "site", *SIGN_STARTS)
 _PARTS = [(part, SIGN_NAMES.index(k)) for k, v in SIGN_PARTS.items() for part in v.split("|")]
@@ -139,7 +142,9 @@ def read_line(raw: str) -> Line | None:
     parts = [p for p in _SPLIT.split(low if "  " not in text and "\xa0" not in text else text.replace("\xa0", " ").lower()) if p] if len(text) < 200 else []
     sign = sign_of(low)
     if sign < 0:
-        if low.lstrip("☰≡ ") in _MENU:
+        if low.endswith(MOTTOS):
+            sign = 2
+        elif low.lstrip("☰≡ ") in _MENU:
             sign = 0
         elif len(parts) >= 2:
             known = sum(p in _MENU for p in parts)
@@ -230,6 +235,8 @@ class Reader:
         """``recurrent``: indexes of lines that recur on the site."""
         lines = [self.line(x) for x in text.split("\n")]
         label = (host or "").split(".")[0].replace("-", "")
+        if not label and (owner := _OWNER.search(text)):
+            label = owner.group(1).lower()
         signs = [-1 if x is None else (SITE if x.sign < 0 and names_site(x, label) else x.sign) for x in lines]
         n = len(lines)
         rule = [-1] * n

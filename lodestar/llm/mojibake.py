@@ -3,7 +3,8 @@
 The words of the corpus that hold other than ASCII characters are counted. Every word that looks rightly decoded is
 garbled by all chains of encodings; the forms are hash-joined with the words that occur, and a word that equals a
 garbled form of a more frequent word is replaced by it. What the join leaves, misshapen words whose original the corpus
-lacks, is read against a table of garbled single characters: those of the corpus, so its size is bounded by Unicode.
+lacks, is read against a table of garbled single characters: those of the corpus and the letters of Latin and Cyrillic,
+so its size is bounded by Unicode.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.encodings import CHAINS, COMMON_SIGNS, certain, clean_shape, garble, garbled_forms
+from lodestar.llm.encodings import CHAINS, COMMON_LETTERS, COMMON_SIGNS, certain, clean_shape, garble, garbled_forms
 from lodestar.session import cut_lineage
 
 TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
@@ -155,7 +156,7 @@ def garbled_words(documents: DataFrame) -> DataFrame:
     rest = words.where("NOT clean").join(found, "token", "left_anti").select("token")
     # at most as many as Unicode has characters; the whole set is needed wherever a rest is read
     characters = [r.c for r in words.where("clean").select(F.explode(F.split("token", "")).alias("c")).where("c > '\x7f'").distinct().collect()]
-    read = rest.mapInArrow(_read_rest(spark.sparkContext.broadcast(sorted({*characters, *COMMON_SIGNS}))), "token string, original string, weight int")
+    read = rest.mapInArrow(_read_rest(spark.sparkContext.broadcast(sorted({*characters, *COMMON_SIGNS, *COMMON_LETTERS}))), "token string, original string, weight int")
     return found.unionByName(read)
 
 
@@ -178,7 +179,7 @@ def garbled_pairs(documents: DataFrame) -> DataFrame:
     bad = cut_lineage(garbled_words(documents))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     pairs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_pairs, "doc_id bigint, token string").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    hits = cut_lineage(pairs.join(bad.select("token", "original", "weight", salts), ["token", "salt"]).select("doc_id", "token", "original", "weight"))
+    hits = cut_lineage(pairs.join(bad.select("token", "original", "weight", salts), ["token", "salt"]).select("doc_id", "token", "original", "weight").distinct())
     judged = hits.groupBy("doc_id").agg(F.sum("weight").alias("_w")).where("_w >= 2").select("doc_id")
     return hits.join(judged, "doc_id")
 
@@ -215,4 +216,4 @@ def restored(documents: DataFrame) -> DataFrame:
     """``(doc_id, text, n_restored)`` of the garbled documents, garbled words replaced by their originals where these are known."""
     words = garbled_pairs(documents).where("original IS NOT NULL").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("words"))
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    return own.join(words, "doc_id").select("doc_id", "text", "words").mapInArrow(_restore, "doc_id bigint, text string, n_restored bigint")
+    return own.join(words, "doc_id").select("doc_id", "text", "words").mapInArrow(_restore, "doc_id bigint, text string, n_restored bigint").distinct()

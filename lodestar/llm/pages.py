@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import strip, url_host
+from lodestar.sources.files import documents, page_id
 
 
 def one_per_id(pages: DataFrame) -> DataFrame:
@@ -14,22 +15,14 @@ def one_per_id(pages: DataFrame) -> DataFrame:
     Rows without a doc_id are dropped, as nothing could be said of them. The text is shuffled once, by doc_id, and a
     join on doc_id that follows reuses that order.
     """
-    newest = Window.partitionBy("doc_id").orderBy(F.col("fetched_at").desc(), F.col("text").desc())
-    # lag rather than row_number: the latter makes Spark sort all texts before the shuffle, too
-    return (
-        pages.select("doc_id", "text", "fetched_at")
-        .where("doc_id IS NOT NULL")
-        .withColumn("_before", F.lag("doc_id").over(newest))
-        .where("_before IS NULL")
-        .select("doc_id", "text")
-    )
+    return documents(pages)
 
 
 def sites(url_mapping: DataFrame) -> DataFrame:
     """``(doc_id, url, host)`` of every mapped page. Of several URLs of one id the least counts; NULL URLs don't count."""
     return (
         url_mapping.where("id IS NOT NULL AND url IS NOT NULL")
-        .groupBy(F.concat(F.lit("page_"), F.col("id").cast("string"), F.lit(".txt")).alias("doc_id"))
+        .groupBy(page_id(F.col("id")).alias("doc_id"))
         .agg(F.min(strip(F.col("url"))).alias("url"))
         .withColumn("host", url_host(F.col("url")))
     )
