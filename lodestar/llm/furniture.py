@@ -86,17 +86,22 @@ FILLER_PHRASES = re.compile(
 
 # How messages of servers, sign-in walls and script notices read, lower-cased, digits as 0.
 MESSAGE = re.compile(
-    r"\b0 ?[–—:-]? ?(?:page |seite )?not found|\berror:? 0\b|^(?:fehler|erreur) 0|http 0|^0 (?:not found|forbidden|gone|bad|internal|service)|page not found|file not found|could not find the page|page (?:you|that you) (?:are|were) looking for|page (?:does not|doesn’t|doesn't) exist|no longer (?:exists|available)"
+    r"\b0 ?[–—:-]? ?(?:page |seite )?not found|\berror:? 0\b|^(?:fehler|erreur|erro|error)\W{0,2}0|http 0|^0 (?:not found|forbidden|gone|bad|internal|service)|page not found|file not found|could not find the page|page (?:you|that you) (?:are|were) looking for|page (?:does not|doesn’t|doesn't) exist|no longer (?:exists|available)"
     r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|temporarily (?:unavailable|down)|internal server error|the server had a problem|could not finish your request|the database did not answer|error establishing a database|database error"
     r"|fatal error|traceback \(most recent|stack trace|exception in|uncaught \w+|parse error|syntax error|keyerror|on line 0$"
     r"|access (?:to .{1,40} )?(?:is |was )?denied|no permission to|not authori[sz]ed|forbidden\b|account has been suspended|contact your host|session has expired|please log in (?:again|to)|sign in to (?:continue|read|view)|you must be logged in|not available in your (?:region|country)"
     r"|checking your (?:connection|browser)|not a robot|too many requests|rate limit|captcha|verify (?:that )?you are human|unusual traffic|trail has gone cold|^oops\b|something went wrong|under maintenance|be back soon|domain (?:is )?for sale|site (?:is )?(?:offline|down)"
     r"|java ?script|scripts? (?:are|is) (?:blocked|disabled|off|required|needed)|scripts allowed|allow scripts|run scripts|does not run script|noscript|enable scripts|turn on scripts|sin scripts|bloque les scripts|ohne skripte|skripte\b|old browser keeps|ad blocker"
     r"|(?:exception|error) (?:at|in) [\w.$]+|\bjava\.lang\b|go back to the home ?page|page (?:has|was|may have) (?:been )?(?:moved|removed|deleted)"
+    r"|servidor (?:no|não) respond|tente (?:de novo|novamente)|inténtelo de nuevo|réessayez|erneut versuchen|try again (?:in|later)"
     r"|no encontrad[ao]|página (?:[\w ]{0,30})?no existe|vuelva a la página|servicio no disponible|acceso denegado|no está disponible|introuvable|accès (?:refusé|interdit)|n’existe (?:pas|plus)|n'existe (?:pas|plus)|service indisponible|momentanément indisponible"
     r"|nicht gefunden|nicht erreichbar|zugriff verweigert|keine berechtigung|nicht verfügbar|não encontrad[ao]|acesso negado|serviço indisponível"
 )
 
+# Entries of bare lists.
+LINK = re.compile(r"https?://|www\.|\b[a-z0-9][\w-]*\.(?:example|test|com|org|net|info|biz|shop)\b", re.I)
+PRODUCT = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|add to cart|in stock|\bSKU\b|★|buy now|in den warenkorb|añadir al carrito|ajouter au panier", re.I)
+TAG = re.compile(r"#[\w-]{3,}|\b[a-z]{3,}[-_][a-z]{3,}\b", re.I)
 _SPLIT = re.compile(r"\s*[|·/>»›]\s*|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -222,13 +227,13 @@ class Reader:
             return made
 
     def _speaks(self, x: Line) -> bool:
-        """Whether a short line reads as a message or as filler rather than as the title of an article."""
+        """Whether a short line reads as a message, filler or an entry of a bare list rather than as the title of an article."""
         known = self.odd.get(x.text)
         if known is None:
             if len(self.odd) >= self.held:
                 self.odd.clear()
             low = folded(x.text)
-            known = self.odd[x.text] = bool(MESSAGE.search(low) or FILLER_PHRASES.search(low))
+            known = self.odd[x.text] = bool(MESSAGE.search(low) or FILLER_PHRASES.search(low) or LINK.search(x.text) or PRODUCT.search(x.text) or "#" in low or low.count(",") > 2 or low.count("_") > 1)
         return known
 
     def page(self, text: str, host: str | None, recurrent: frozenset | set = frozenset()) -> Page:
