@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # White space as Unicode defines it, besides the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+# The stopwords of the index.
 INDEX_STOPWORDS = ("the", "a", "an", "and", "or", "but", "is", "in", "on", "at", "to", "for", "with")
 
 

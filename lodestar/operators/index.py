@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import index_tokens
+from lodestar.session import cut_lineage
 
 DEFAULT_LENGTH = 1000.0
 
@@ -42,6 +43,10 @@ class Index:
         """``(term, df)``."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
+    def kept(self) -> Index:
+        """The same index with its tables written to the checkpoint folder, for plans that use them many times."""
+        return Index(cut_lineage(self.postings), cut_lineage(self.doc_len), self.n_docs, self.total_len)
+
     def save(self, path: str) -> None:
         """Write postings in ranges of terms, so that a reader skips most files of a term."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")

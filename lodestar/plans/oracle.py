@@ -53,7 +53,7 @@ def _hits() -> str:
     return ",\n".join(steps)
 
 
-def _search(asked: str = _ASKED, mode: str = "hybrid", log_tf: bool = False, ranked: bool = False) -> str:
+def _search(asked: str = _ASKED, mode: str = "hybrid", log_tf: bool = False, ranked: bool = False, top: int = 10) -> str:
     raw = _words("coalesce(query_text, '')")
     terms = "raw" if log_tf else f"CASE WHEN len(list_filter(raw, lambda x: x NOT IN {_STOP})) > 0 THEN list_filter(raw, lambda x: x NOT IN {_STOP}) ELSE raw END"
     weight = "1.0" if log_tf else "CASE WHEN pos < 2 THEN 5.0 ELSE 1.0 END"
@@ -76,7 +76,7 @@ scored AS (SELECT query_id, doc_id, url, tf_idf, pow(matched / n_terms, 4) AS co
            (tf_idf + 1000 * coalesce(pr, 0.0)) * pow(matched / n_terms, 4) * CASE WHEN len(url_key) - len(replace(url_key, '/', '')) <= 3 THEN 0.3 WHEN len(url_key) - len(replace(url_key, '/', '')) >= 5 THEN 2.0 ELSE 1.0 END AS score
            FROM once LEFT JOIN scores USING (url_key)),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({order}, 9) DESC, doc_id) AS place FROM scored WHERE score > 0)
-SELECT query_id, place, doc_id, url, round(score, 6) AS score, round(tf_idf, 6) AS tf_idf, round(coordination, 6) AS coordination, round(page_rank, 9) AS page_rank FROM best WHERE place <= 10"""
+SELECT query_id, place, doc_id, url, round(score, 6) AS score, round(tf_idf, 6) AS tf_idf, round(coordination, 6) AS coordination, round(page_rank, 9) AS page_rank FROM best WHERE place <= {top}"""
 
 
 _EDGE_CASES = """asked AS (SELECT * FROM (VALUES (1, 'the and for'), (2, 'wolf wolf wolf'), (3, 'heron the puma heron lynx shrike'), (4, ''), (5, NULL), (6, 'wo1f wölf ab'), (7, 'quxquux')) v(query_id, query_text))"""
@@ -97,6 +97,50 @@ def _related(measure: str) -> str:
     return f"WITH {_INDEX}, {_SEEDS}, {_RELATED}, best AS ({_best(measure)}) SELECT seed, place, term, round(score, 6) AS score FROM best"
 
 
+def _rocchio() -> str:
+    """Expansion of all queries without stemming, with the stopwords of the index, from their 50 best hits."""
+    idf = "CASE WHEN df >= 3 THEN least(log10(n / df), 3.0) ELSE 0.0 END"
+    return rf"""
+WITH {_INDEX}, {_ASKED},
+qw AS (SELECT query_id, unnest(list_filter(string_split_regex(lower(query_text), '\s+'), lambda x: x <> '' AND x NOT IN {_STOP})) AS term FROM asked),
+stems AS (SELECT query_id, term, count(*) AS n_q FROM qw GROUP BY ALL),
+hits AS (SELECT *, string_split(lower(url), '#')[1] AS base FROM ({_search(top=50)})),
+once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, base ORDER BY place) = 1),
+held AS (SELECT o.query_id, o.doc_id, count(*) AS k FROM once o JOIN stems s ON s.query_id = o.query_id JOIN post p ON p.term = s.term AND p.doc_id = o.doc_id WHERE place <= 15 GROUP BY ALL),
+need AS (SELECT query_id, least(2, count(*)) AS need FROM stems GROUP BY query_id),
+good AS (SELECT o.query_id, o.doc_id, true AS rel FROM once o LEFT JOIN held h ON h.query_id = o.query_id AND h.doc_id = o.doc_id LEFT JOIN need d ON d.query_id = o.query_id
+         WHERE place <= 15 AND coalesce(k, 0) >= coalesce(need, 0) QUALIFY row_number() OVER (PARTITION BY o.query_id ORDER BY place) <= 3),
+given AS MATERIALIZED (SELECT * FROM good UNION ALL SELECT query_id, doc_id, false FROM once WHERE place > 40 AND query_id IN (SELECT query_id FROM good)),
+vraw AS (SELECT doc_id, p.term, (1 + log10(tf)) * ({idf}) AS w FROM post p JOIN dfs ON dfs.term = p.term, cst WHERE doc_id IN (SELECT doc_id FROM given)),
+vec AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM vraw WHERE w <> 0),
+about AS (SELECT g.query_id, g.doc_id, coalesce(sum(v.w), 0) > 0.15 AS ok FROM given g LEFT JOIN (SELECT s.query_id, v.* FROM vec v JOIN stems s ON s.term = v.term) v ON v.query_id = g.query_id AND v.doc_id = g.doc_id WHERE rel GROUP BY ALL),
+chosen AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS m FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS one FROM about) WHERE ok OR NOT one),
+rel AS MATERIALIZED (SELECT query_id, term, sum(w / m) AS r, count(*) AS n_rel FROM chosen JOIN vec USING (doc_id) GROUP BY ALL),
+non AS (SELECT query_id, term, sum(w / m) AS o, count(*) AS n_non FROM (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS m FROM given WHERE NOT rel) JOIN vec USING (doc_id) GROUP BY ALL),
+qraw2 AS (SELECT query_id, s.term, (1 + log10(n_q)) * coalesce({idf}, 0.0) AS w FROM stems s LEFT JOIN dfs ON dfs.term = s.term, cst WHERE query_id IN (SELECT query_id FROM good)),
+q0 AS (SELECT query_id, term, CASE WHEN sum(w * w) OVER (PARTITION BY query_id) > 0 THEN w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) ELSE w END AS q FROM qraw2),
+allt AS (SELECT query_id, term, sum(q) AS q, sum(r) AS r, sum(o) AS o, sum(n_rel) AS n_rel, sum(n_non) AS n_non FROM (
+   SELECT query_id, term, q, 0.0 AS r, 0.0 AS o, 0 AS n_rel, 0 AS n_non FROM q0 UNION ALL SELECT query_id, term, 0, r, 0, n_rel, 0 FROM rel UNION ALL SELECT query_id, term, 0, 0, o, 0, n_non FROM non) GROUP BY ALL),
+vals AS MATERIALIZED (SELECT a.*, q + 0.4 * r - 0.1 * o AS val, coalesce(df, 0) AS df, coalesce({idf}, 0.0) AS idf FROM allt a LEFT JOIN dfs ON dfs.term = a.term, cst WHERE q + 0.4 * r - 0.1 * o > 0),
+heavy AS (SELECT query_id, term, r FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(r, 12) DESC, term) <= 10),
+themes AS (SELECT query_id, theme, sum(share) AS share FROM (SELECT query_id, term AS theme, n_q / sum(n_q) OVER (PARTITION BY query_id) AS share FROM stems
+   UNION ALL SELECT query_id, term, r / count(*) OVER (PARTITION BY query_id) FROM heavy) GROUP BY ALL),
+pairs AS (SELECT DISTINCT v.term, t.theme FROM vals v JOIN themes t ON t.query_id = v.query_id),
+both_ AS MATERIALIZED (SELECT x.term, x.theme, count(*) AS b FROM pairs x JOIN post p ON p.term = x.term JOIN post z ON z.term = x.theme AND z.doc_id = p.doc_id GROUP BY ALL),
+sig AS (SELECT v.query_id, v.term, sum(share * b / v.df * log10(1 + (b / td.df) / (v.df / n))) AS signal FROM vals v JOIN themes t ON t.query_id = v.query_id JOIN both_ b ON b.term = v.term AND b.theme = t.theme JOIN dfs td ON td.term = t.theme, cst WHERE v.df > 0 GROUP BY ALL),
+scored AS (SELECT v.*, val * (n_rel + 1) / (n_non + 1) * CASE WHEN v.df < 3 THEN 0.01 ELSE greatest(0.01, 0.1 + coalesce(signal, 0)) END * (1 + idf) AS score FROM vals v LEFT JOIN sig s ON s.query_id = v.query_id AND s.term = v.term),
+kept AS (SELECT * FROM (SELECT *, avg(score) OVER (PARTITION BY query_id) AS mean FROM scored) c WHERE score > 1.5 * mean AND n_rel >= 2 AND len(term) > 2 AND term NOT IN {_STOP}
+   AND NOT EXISTS (SELECT 1 FROM stems s WHERE s.query_id = c.query_id AND s.term = c.term)),
+best AS (SELECT query_id, term, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS place FROM kept)
+SELECT query_id, place, term, round(score, 6) AS score FROM best WHERE place <= 5"""
+
+
+def _cluster_run() -> str:
+    joined = ", ".join(f"coalesce((SELECT string_agg(term, ' ' ORDER BY place) FROM ({_best(m, 3)}) b WHERE b.seed = f.seed), '') AS {m}" for m in ("association", "metric", "scalar"))
+    first = rf"string_split_regex(lower({_strip('query_text')}), '\s+')[1]"
+    return f"WITH {_INDEX}, {_ASKED}, {_SEEDS}, {_RELATED}, f AS (SELECT query_id, {first} AS seed FROM asked) SELECT query_id, {joined} FROM f"
+
+
 _LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
 _ENDS = f"""ends AS (SELECT lower({_strip('src')}) AS src, lower({_strip('dst')}) AS dst FROM web_graph),
 sided AS (SELECT 'src' AS side, src AS url, dst AS other FROM ends UNION ALL SELECT 'dst', dst, src FROM ends)"""
@@ -132,6 +176,8 @@ SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, (SELECT node FROM deg
     "assoc_terms": _related("association"),
     "metric_terms": _related("metric"),
     "scalar_terms": _related("scalar"),
+    "cluster_run": _cluster_run(),
+    "rocchio_identity": _rocchio(),
     "crawl_audit": f"""
 WITH {_INDEX}, p AS (SELECT count(*) AS pages, count(*) FILTER (coalesce(strlen(text), 0) = 0) AS empty_pages, count(*) FILTER (strlen(text) BETWEEN 1 AND 99) AS small_pages FROM docs),
 g AS (SELECT count(*) FILTER (src IS NOT NULL AND dst IS NOT NULL) AS edges, count(*) FILTER (src IS NULL OR dst IS NULL) AS corrupt_edges, count(DISTINCT CASE WHEN dst IS NOT NULL THEN src END) AS unique_sources FROM web_graph)

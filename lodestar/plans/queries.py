@@ -12,7 +12,7 @@ from lodestar.session import read_table as _t
 from lodestar.sources import files
 
 # One query that many pages answer, for what works on one query at a time.
-QUESTION = "falcon stalked lizards near the moorland"
+QUESTION = "caracal lynx rivalry"
 
 
 def _docs(spark, d):
@@ -127,7 +127,7 @@ def _first_words(spark, d):
 
 
 def _related(spark, d, measure):
-    made = _index(spark, d)
+    made = _index(spark, d).kept()
     return _rounded(cooccurrence.best_related(cooccurrence.related(made, _first_words(spark, d)), measure), "score")
 
 
@@ -144,37 +144,45 @@ def scalar_terms(spark, d):
 
 
 def expand_cluster(spark, d):
-    return expansion.expand_cluster(_index(spark, d), _queries(spark, d), _urls(spark, d).count(), "association")
+    return expansion.expand_cluster(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d).count(), "association")
 
 
-def _feedback(spark, d, made):
-    hits_ = ranking.search(made, ranking.one_query(made.postings, QUESTION), _urls(spark, d), top_n=3)
-    return [r.doc_id for r in hits_.orderBy("place").collect()]
+def _as_is(c):
+    return c
 
 
 def rocchio_identity(spark, d):
-    made = _index(spark, d)
-    return _rounded(rocchio.expand(made, QUESTION, _feedback(spark, d, made), [], frozenset(("the", "near")), lambda c: c), "score")
+    made = _index(spark, d).kept()
+    return _rounded(expansion.rocchio_terms(made, _queries(spark, d), _urls(spark, d), None, _as_is, frozenset(text.INDEX_STOPWORDS)), "score")
 
 
 def rocchio_porter(spark, d):
-    made = _index(spark, d)
-    return _rounded(rocchio.expand(made, QUESTION, _feedback(spark, d, made), [], english_stopwords(), porter), "score")
+    return _rounded(expansion.rocchio_terms(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d), None), "score")
 
 
 def expand_rocchio(spark, d):
-    made = _index(spark, d)
-    return spark.createDataFrame([(QUESTION, expansion.expand_query(made, _urls(spark, d), None, QUESTION))], "query string, expanded string")
+    return expansion.expand_rocchio(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d), None)
+
+
+def cluster_run(spark, d):
+    return expansion.cluster_run(_index(spark, d).kept(), _queries(spark, d))
+
+
+def ui_search(spark, d):
+    return expansion.ui_search(_index(spark, d).kept(), _docs(spark, d), _urls(spark, d), _scores(spark, d), QUESTION)
 
 
 def compare_six(spark, d):
-    return expansion.compare(_index(spark, d), _docs(spark, d), _urls(spark, d), _scores(spark, d), QUESTION)
+    return expansion.compare(_index(spark, d).kept(), _docs(spark, d), _urls(spark, d), _scores(spark, d), QUESTION)
 
 
 def local_vocab(spark, d):
-    made = _index(spark, d)
-    good, _ = expansion.feedback(made, _urls(spark, d), None, QUESTION, porter, english_stopwords(), relevant=5, others=10)
-    return audit.vocabulary(made, good)
+    made = _index(spark, d).kept()
+    asked = ranking.one_query(made.postings, QUESTION)
+    words = rocchio.query_words(asked, english_stopwords(), porter)
+    hits_ = ranking.search(made, asked, _urls(spark, d), top_n=expansion.POOL)
+    good = rocchio.feedback(made, words, hits_, relevant=5, others=10).where("rel").select("doc_id")
+    return audit.vocabulary(made, [r.doc_id for r in good.collect()])
 
 
 def crawl_audit(spark, d):
@@ -208,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         postings_tf, term_df, doc_lengths, collection_stats, search_hybrid, search_vsm, search_logtf, search_with_pagerank, query_edge_cases, doc_metadata, url_keys, page_links, page_text,
-        graph_stats, pagerank, pagerank_top, hits, assoc_terms, metric_terms, scalar_terms, expand_cluster, rocchio_identity, rocchio_porter, expand_rocchio, compare_six, local_vocab,
+        graph_stats, pagerank, pagerank_top, hits, assoc_terms, metric_terms, scalar_terms, expand_cluster, cluster_run, rocchio_identity, rocchio_porter, expand_rocchio, ui_search, compare_six, local_vocab,
         crawl_audit, crawl_frontier, result_overlap, p3_found, p3_degrees,
     )
 }
