@@ -24,7 +24,7 @@ PLACEHOLDER = re.compile(
     rf"|\[(?:INSERT|YOUR|ENTER|ADD|insert|your|Your|Insert)\s[^\]\[]{{1,40}}\]|<[A-Za-z_][\w. ]*\shere>|<(?:insert|your)\s[\w. ]{{1,40}}>|\[object Object\]|%(?:TITLE|NAME|AUTHOR|DATE)%"
 )
 UNFILLED = re.compile(r"\bNaN\b|(?<!\bwas )(?<!\bis )(?<!\bwere )(?<!\bare )(?<!\bbe )(?<!\bbeen )(?<!\ban )(?<!\bremains )(?<!\bleft )(?<![“\"‘'`])\bundefined\b(?![”\"’'`])")
-_EMPTY_VALUE = re.compile(r"^(?:[\w() ]{1,30}:\s*)?(?:undefined|null|nan|none|\(null\)|nil)\.?$", re.I)
+_EMPTY_VALUE = re.compile(r"^(?:[\w() ]{1,30}:\s*)?(?:undefined|null|nan|\(null\))\.?$", re.I)
 _SLOT_PARTS = ("{", "[", "<", "%", "$", "@@", "__", "*|")  # no placeholder is without one of these
 
 # The commonest words of Latin filler.
