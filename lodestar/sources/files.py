@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,14 @@ FRONTIER_SAVED = 50_000
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, text)`` of all text files below a folder, the file's name being the id; bytes that aren't UTF-8 are left out."""
+    """``(doc_id, text)`` of all text files below a folder, the file's name being the id; bytes that aren't UTF-8, and replacement
+    characters, are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    text = F.replace(F.decode(F.col("content"), F.lit("UTF-8")), F.lit("�"), F.lit(""))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), text.alias("text"))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    read = files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), text.alias("text"))
+    # Spark passes over files of no bytes; its own listing, which the driver holds anyway, has them
+    listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in files.inputFiles()], "doc_id string")
+    return listed.join(read, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def page_id(n: Column) -> Column:
