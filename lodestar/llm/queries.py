@@ -49,6 +49,11 @@ def p5_scores(spark, d):
     return rows.withColumn("llr", F.round("llr", 6))
 
 
+def p5_all_scores(spark, d):
+    """The score of every term of every page; p5_scores gives those its SQL asks for, terms on 2 to 12 pages that a page repeats."""
+    return distinctive_terms.distinctive_terms(_t(spark, d, "pages")).withColumn("llr", F.round("llr", 6))
+
+
 def p6_found(spark, d):
     return rank_fusion.agreed_best(_t(spark, d, "search_results"))
 
@@ -81,4 +86,4 @@ def p10_restored(spark, d):
     return mojibake.restored(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lodestar.llm import distinctive_terms, rank_fusion
+from lodestar.llm import distinctive_terms, queries, rank_fusion
 
 PAGES = "doc_id string, text string, fetched_at timestamp, term string, tf bigint"
 
@@ -47,6 +47,19 @@ def test_no_pages(spark):
     assert distinctive_terms.distinctive_terms(_pages(spark, []), 5, 2, 12).count() == 0
 
 
+def test_every_pair_has_a_score(spark, tmp_path):
+    # "wolf" and "lynx" on 25 pages, above any limit, and terms that occur once, in one page
+    rows = [(f"p{i}", f"wolf wolf only{chr(97 + i)}x lynx") for i in range(25)] + [("e", ""), ("n", None), ("x", "single")]
+    _pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["p5_all_scores"](spark, str(tmp_path)).collect()
+    want = {(d, t): n for d, x in rows for t, n in Counter(re.findall(r"\b[a-z]{3,}\b", x or "")).items()}
+    assert {(r.doc_id, r.term): r.tf for r in got} == want and len(got) == len(want)
+    df = Counter(t for _, t in want)
+    assert all(r.df == df[r.term] for r in got) and df["wolf"] == 25
+    score = {(r.doc_id, r.term): r.llr for r in got}
+    assert score["x", "single"] > score["p3", "onlydx"] > abs(score["p3", "wolf"])
+
+
 HITS = "query_id bigint, url string, score double, tf_idf double, coordination double, page_rank double, run_at timestamp, rank string"
 
 
