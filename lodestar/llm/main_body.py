@@ -185,12 +185,14 @@ def _reading(model: Boosted, weights: dict[str, float]):
                     continue
                 marked = frozenset(recurrent or ())
                 page = reader.page(text, host, marked)
+                # the evidence of keyword_pages: of every page, whatever recurs on its site
+                seen = keyword_pages.evidence(reader.page(text, host) if marked else page)
                 if has_residue(page):
-                    todo.append((doc_id, site, None, True, [], [], []))
+                    todo.append((doc_id, site, seen, True, [], [], []))
                     continue
                 own, at, region, run_ = made.rows(page, marked)
                 rows.extend(own)
-                todo.append((doc_id, site, keyword_pages.evidence(page), False, at, region, run_))
+                todo.append((doc_id, site, seen, False, at, region, run_))
             margin = model.margin(np.asarray(rows, np.float32).reshape(len(rows), -1)) if rows else np.zeros(0)
             regions: list[int] = []
             runs: list[int] = []

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestar.llm import main_body, repeated_lines, residue, site_lines
+from lodestar.llm import keyword_pages, main_body, repeated_lines, residue, site_lines
 from lodestar.llm.boosting import train
 from lodestar.llm.furniture import Reader, folded
 
@@ -132,6 +132,22 @@ def test_main_body(spark):
     assert [x for x in bodies["page_3.txt"].split("\n") if x] == [x for k, x in enumerate(_page(3).split("\n"), 1) if x and k in (9, 11, 12, 13, 14)]
 
 
+def test_keyword_pages_have_no_rows(spark):
+    prose = "The wolf is seen in the hills when it is on the way to the river with all of its young."
+    names = ("wolf lynx puma bear otter marten stoat", "heron eagle falcon hawk owl kite crane", "shark orca pike eel ray perch carp", "cobra viper python boa adder toad newt")
+    text = "\n".join(["On the wolves of the hills", "", prose, prose, "", *names])
+    rows = [("page_1.txt", text, "http://a.example/1"), ("page_2.txt", text, "http://b.example/2"), ("page_3.txt", text + "\n{{ title }}", "http://c.example/3")]
+    pages = spark.createDataFrame([(d, t, None) for d, t, _ in rows], "doc_id string, text string, fetched_at timestamp")
+    urls = spark.createDataFrame([(i + 1, u) for i, (_, _, u) in enumerate(rows)], "id long, url string")
+    edges = spark.createDataFrame([], "src string, dst string")
+    # the phrases stand on three sites only if the page with residue counts
+    found = {r.doc_id for r in keyword_pages.keyword_pages(pages, urls, edges).collect()}
+    assert found == {"page_1.txt", "page_2.txt", "page_3.txt"}
+    assert main_body.furniture(pages, urls, edges).count() == 0
+    read = main_body._read(pages, urls, 10)
+    assert {r.doc_id for r in keyword_pages.judged(read.where("words IS NOT NULL"), urls, edges).where("keyword_page").collect()} == found
+
+
 def test_decoding_is_consistent():
     # a run of furniture with one weak line goes as a whole, a clear line of another run stays
     margin = np.array([3.0, -0.4, 3.0, -6.0])
