@@ -1,248 +1,94 @@
-"""The main body of a page among menus, notices, sidebars and footers.
+"""The main body of each page among menus, notices, sidebars and footers, by the model of body_model.
 
-Text pages have no markup left, so a tree is read off their lines: a page has regions (parted by blank lines), a region
-has runs of lines of one kind, a run has lines. Boosted trees score each line by what a DOM node would show: density of
-its run and region, the words it holds (as attribute tokens), its depth and its siblings. Labels come from rules on a
-sample of pages of fixed size; lines the rules aren't sure of don't train. Decoding goes up the tree: a node is all
-body, all furniture, or mixed at a price, and what an ancestor is decided to be binds its descendants.
+The model is fitted on a sample of whole sites of bounded size, chosen by a hash, and applied to every page. Pages of
+residue and keyword pages have no body; their own operators tell which they are.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm import keyword_pages
-from lodestar.llm.boosting import Boosted, train
-from lodestar.llm.furniture import HEADING, Line, Page, Reader, heading_like
-from lodestar.llm.pages import one_per_id
-from lodestar.llm.residue import has_residue
-from lodestar.llm.site_lines import recurrent_positions, with_positions
-from lodestar.session import cut_lineage
-
-SAMPLE_PAGES = 1500
-TOKENS = 2000
-MIXED_PRICE = 1.0
-
-
-def kind(x: Line, sign: int) -> int:
-    """The form of a line: sibling lines of one form make a run."""
-    if x.words >= 25 or x.closed and x.words >= 8:
-        return 0  # prose
-    if sign >= 0:
-        return 2 + (sign > 2)
-    return 1 if x.separators < 2 else 4
-
-
-class Features:
-    """Rows of numbers for the non-blank lines of pages; ``weights`` are log-odds of words, learned from the sample."""
-
-    def __init__(self, weights: dict[str, float], held: int = 200_000) -> None:
-        self.weights = weights
-        self.held = held
-        self.own: dict[str, tuple] = {}
-
-    def _own(self, x: Line) -> tuple:
-        made = self.own.get(x.text) if x.words < 25 else None
-        if made is None:
-            if x.words < 25:
-                odds = [self.weights.get(w, 0.0) for w in x.text.lower().split()]
-                made = (x.words, len(x.text), x.function_share, x.sentences, x.closed, x.item, x.digits, x.separators, max(odds, default=0.0), min(odds, default=0.0), sum(odds), heading_like(x))
-                if len(self.own) >= self.held:
-                    self.own.clear()
-                self.own[x.text] = made
-            else:
-                made = (x.words, len(x.text), x.function_share, x.sentences, x.closed, x.item, x.digits, x.separators, 0.0, 0.0, 0.0, False)
-        return made
-
-    def rows(self, page: Page, recurrent: frozenset) -> tuple[list[tuple], list[int], list[int], list[int]]:
-        """Features, indexes, region and run number of each non-blank line."""
-        at = [i for i, x in enumerate(page.lines) if x is not None]
-        n = len(at)
-        region: list[int] = []
-        run: list[int] = []
-        last, r, u, before = -1, -1, -1, -1
-        for i in at:
-            k = kind(page.lines[i], page.signs[i])
-            if last < 0 or i > last + 1:
-                r, u = r + 1, u + 1
-            elif k != before:
-                u += 1
-            region.append(r)
-            run.append(u)
-            last, before = i, k
-        region_size, run_size = Counter(region), Counter(run)
-        region_words: Counter = Counter()
-        region_signs: Counter = Counter()
-        prose = [j for j, i in enumerate(at) if page.lines[i].words >= 20 and page.lines[i].function_share > 0.12]
-        first, final = (prose[0], prose[-1]) if prose else (n, -1)
-        for j, i in enumerate(at):
-            region_words[region[j]] += page.lines[i].words
-            region_signs[region[j]] += page.signs[i] >= 0
-        rows = []
-        for j, i in enumerate(at):
-            x = page.lines[i]
-            up = page.lines[at[j - 1]] if j else None
-            down = page.lines[at[j + 1]] if j + 1 < n else None
-            g = region[j]
-            rows.append(
-                (
-                    *self._own(x), page.signs[i], i in recurrent, page.run[i], i == page.title, j, n - 1 - j, j - first, j - final,
-                    region_size[g], region_words[g] / region_size[g], region_signs[g] / region_size[g], run_size[run[j]],
-                    up.words if up else 0, page.signs[at[j - 1]] if j else -2, down.words if down else 0, page.signs[at[j + 1]] if down else -2,
-                    page.run[at[j + 1]] if down else 0, j > 0 and page.signs[at[j - 1]] == HEADING, page.rule[i],
-                )
-            )
-        return rows, at, region, run
-
-
-def decode(margin: np.ndarray, region: list[int], run: list[int], price: float = MIXED_PRICE) -> np.ndarray:
-    """Furniture (True) or body per line of one page, from log-odds of furniture, with consistent ancestors.
-
-    Bottom-up each node weighs three choices: all its lines furniture, all body, or each child as is best for it, which
-    costs ``price`` if the children differ. Top-down the best choice of an ancestor is imposed on what lies under it.
-    """
-    if not len(margin):
-        return np.zeros(0, bool)
-    furniture, body = np.minimum(margin, 0.0), np.minimum(-margin, 0.0)
-    out = margin > 0
-    runs, regions = np.asarray(run), np.asarray(region)
-    starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
-    of_region = regions[starts]
-    all_f, all_b = np.add.reduceat(furniture, starts), np.add.reduceat(body, starts)
-    lines = np.add.reduceat(out.astype(np.int64), starts)
-    size = np.diff(np.r_[starts, len(margin)])
-    free = np.where((lines == 0) | (lines == size), 0.0, -price)  # log-likelihood lost by leaving lines as they are is 0
-    choice = np.argmax(np.stack([free, all_f, all_b]), 0)
-    best = np.maximum(np.maximum(free, all_f), all_b)
-    tops = np.flatnonzero(np.r_[True, of_region[1:] != of_region[:-1]])
-    region_f, region_b, region_free = (np.add.reduceat(v, tops) for v in (all_f, all_b, best))
-    part = np.where(choice == 0, lines / size, (choice == 1).astype(float))
-    uniform = np.minimum.reduceat(part, tops) == np.maximum.reduceat(part, tops)
-    region_free = np.where(uniform, region_free, region_free - price)
-    pick = np.argmax(np.stack([region_free, region_f, region_b]), 0)
-    decided = np.where(np.repeat(pick, np.diff(np.r_[tops, len(starts)])) == 0, choice, np.repeat(pick, np.diff(np.r_[tops, len(starts)])))
-    per_line = np.repeat(decided, size)
-    return np.where(per_line == 0, out, per_line == 1)
-
-
-def word_weights(pages: list[tuple[Page, frozenset]], most: int = TOKENS) -> dict[str, float]:
-    """Log-odds of furniture for the words of short lines, from the lines the rules are sure of."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for page, _ in pages:
-        for i, r in enumerate(page.rule):
-            if r >= 0 and page.lines[i] is not None and page.lines[i].words < 25:
-                seen[r].update(set(page.lines[i].text.lower().split()))
-    total = seen[0] + seen[1]
-    return {w: log((seen[1][w] + 1) / (seen[0][w] + 1)) for w, n in sorted(total.items(), key=lambda e: (-e[1], e[0]))[:most] if n >= 5}
-
-
-def fit(sample: list[tuple[str, str | None, list[int] | None]]) -> tuple[Boosted, dict[str, float]]:
-    """A model from (text, host, recurrent) of sampled pages."""
-    reader = Reader()
-    pages = [(reader.page(t, h, frozenset(r or ())), frozenset(r or ())) for t, h, r in sample if t]
-    weights = word_weights(pages)
-    made = Features(weights)
-    x: list[tuple] = []
-    y: list[int] = []
-    for page, recurrent in pages:
-        if has_residue(page):
-            continue
-        rows, at, *_ = made.rows(page, recurrent)
-        for row, i in zip(rows, at, strict=True):
-            if page.rule[i] >= 0:
-                x.append(row)
-                y.append(page.rule[i])
-    data = np.asarray(x, np.float64) if x else np.zeros((0, 1))
-    return train(data, np.asarray(y, np.float64)), weights
-
-
-def furniture_lines(page: Page, recurrent: frozenset, made: Features, model: Boosted) -> list[int]:
-    """Indexes of the non-blank lines outside the main body."""
-    rows, at, region, run = made.rows(page, recurrent)
-    if not rows:
-        return []
-    return [i for i, f in zip(at, decode(model.margin(np.asarray(rows, np.float64)), region, run), strict=True) if f]
-
-
-_COLUMNS = "doc_id string, site bigint, words bigint, listed double, phrase double, shingles array<bigint>, residue boolean, lines array<int>"
-
-
-def _reading(model: Boosted, weights: dict[str, float]):
+from lodestar.llm import keyword_pages, residue
+from lodestar.llm.body_model import Boosted, Features, decode, fit, tree_of
+from lodestar.llm.lines import Reader, site_name
+from lodestar.llm.pages import kept_pages
+
+SAMPLE_SITES, SITE_PAGES = 96, 24  # the model sees at most this many sites and pages of each
+LEAST_PAGES = 8  # of a site in the sample: recurrence tells nothing on smaller ones
+LONGEST_SAMPLED = 100_000  # characters; longer pages aren't drawn into the sample
+
+
+def _sample(kept: DataFrame, sites: int, pages: int) -> list[tuple[str, str]]:
+    """(text, host) of the sample; at most sites * pages texts of at most LONGEST_SAMPLED characters reach the driver."""
+    able = kept.where(f"host IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST_SAMPLED}")
+    chosen = able.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).orderBy(F.xxhash64(F.lit(11), "host"), "host").limit(sites).select("host")
+    order = Window.partitionBy("host").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
+    ids = able.select("host", "doc_id").join(F.broadcast(chosen), "host").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= pages).select("doc_id")
+    rows = able.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "host").collect()
+    return [(r.text, r.host) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def furniture_lines(texts: list[tuple[str, str | None]], reader: Reader, made: Features, model: Boosted) -> list[list[int]]:
+    """Per page of (text, host) the indexes of the non-blank lines outside the main body; all pages are scored at once."""
+    trees, rows, region, run = [], [], [], []
+    for text, host in texts:
+        lines = reader.page(text)
+        tree = tree_of(lines)
+        rows.extend(made.rows(lines, tree, site_name(host)))
+        r, u = (region[-1] + 1, run[-1] + 1) if run else (0, 0)  # no region spans two pages
+        region.extend([r + v for v in tree.region])
+        run.extend([u + v for v in tree.run])
+        trees.append(tree.at)
+    margin = model.margin(np.asarray(rows, np.float32).reshape(len(rows), -1)) if rows else np.zeros(0)
+    kept = decode(margin, region, run).tolist()
+    out, k = [], 0
+    for at in trees:
+        out.append([i for i, f in zip(at, kept[k : k + len(at)], strict=True) if f])
+        k += len(at)
+    return out
+
+
+def _lines(model: Boosted, weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, made = Reader(), Features(weights)
         for batch in batches:
-            todo: list = []
-            rows: list[tuple] = []
-            for doc_id, text, host, recurrent, site in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if not text or not text.strip():
-                    continue
-                marked = frozenset(recurrent or ())
-                page = reader.page(text, host, marked)
-                # the evidence of keyword_pages: of every page, whatever recurs on its site
-                seen = keyword_pages.evidence(reader.page(text, host) if marked else page)
-                if has_residue(page):
-                    todo.append((doc_id, site, seen, True, [], [], []))
-                    continue
-                own, at, region, run_ = made.rows(page, marked)
-                rows.extend(own)
-                todo.append((doc_id, site, seen, False, at, region, run_))
-            margin = model.margin(np.asarray(rows, np.float32).reshape(len(rows), -1)) if rows else np.zeros(0)
-            regions: list[int] = []
-            runs: list[int] = []
-            for *_, region, run_ in todo:
-                if run_:
-                    r, u = (regions[-1] + 1, runs[-1] + 1) if runs else (0, 0)
-                    regions.extend([r + v for v in region])
-                    runs.extend([u + v for v in run_])
-            kept = decode(margin, regions, runs).tolist()  # the regions of all pages at once; none spans two pages
-            k = 0
-            out: list[list] = [[] for _ in range(8)]
-            for doc_id, site, seen, residue, at, _, _ in todo:
-                lines = [i + 1 for i, f in zip(at, kept[k : k + len(at)], strict=True) if f]
-                k += len(at)
-                for column, v in zip(out, (doc_id, site, seen and seen.words, seen and seen.listed, seen and seen.phrase, seen.shingles if seen else [], residue, lines), strict=True):
-                    column.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                texts = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                found = [[i + 1 for i in x] for x in furniture_lines(texts, reader, made, model)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "lines"])
 
     return run
 
 
-def _read(pages: DataFrame, url_mapping: DataFrame, sample_pages: int) -> DataFrame:
-    positions = cut_lineage(recurrent_positions(pages, url_mapping))
-    rows = with_positions(pages, url_mapping, positions)
-    # the sample is fixed by a hash of doc_id; ids are chosen first so that few texts travel
-    ids = pages.where("text IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample_pages)
-    chosen = with_positions(pages.join(F.broadcast(ids), "doc_id", "left_semi"), url_mapping, positions)
-    sample = sorted(chosen.collect(), key=lambda r: r.doc_id)
-    model, weights = fit([(r.text, r.host, r.recurrent) for r in sample])
-    read = rows.select("doc_id", "text", "host", "recurrent", F.xxhash64("host").alias("site")).mapInArrow(_reading(model, weights), _COLUMNS)
-    return cut_lineage(read)
+def _read(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int, site_pages: int) -> tuple[DataFrame, DataFrame]:
+    """The kept pages, and ``(doc_id, lines)`` of those that have a body."""
+    kept = kept_pages(pages, url_mapping)
+    model, weights = fit(_sample(kept, sites, site_pages))
+    stuffed = keyword_pages.judged(keyword_pages.evidence_of(kept, url_mapping, edges)).where("keyword_page").select("doc_id")
+    without = residue.residue_of(kept).unionByName(stuffed).distinct()
+    good = kept.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "host").join(without, "doc_id", "left_anti")
+    return kept, good.mapInArrow(_lines(model, weights), "doc_id string, lines array<int>")
 
 
-def furniture(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def furniture(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int = SAMPLE_SITES, site_pages: int = SITE_PAGES) -> DataFrame:
     """``(doc_id, line_no)`` of the non-blank lines outside the main body, line_no from 1.
 
     Pages with residue and keyword pages have no body, so they have no rows; NULL and blank pages have none either.
-    The model is fitted on ``sample_pages`` pages and applied to all.
+    The model is fitted on at most ``sites`` sites and ``site_pages`` pages of each, and applied to all pages. Where no site
+    has LEAST_PAGES pages there is nothing to learn from, and every line counts as body.
     """
-    read = _read(pages, url_mapping, sample_pages)
-    stuffed = keyword_pages.judged(read.where("words IS NOT NULL"), url_mapping, edges).where("keyword_page").select("doc_id")
-    return read.where("NOT residue").join(stuffed, "doc_id", "left_anti").select("doc_id", F.explode("lines").alias("line_no"))
+    return _read(pages, url_mapping, edges, sites, site_pages)[1].select("doc_id", F.explode("lines").alias("line_no"))
 
 
-def main_bodies(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def main_bodies(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int = SAMPLE_SITES, site_pages: int = SITE_PAGES) -> DataFrame:
     """``(doc_id, body)``: the main body of each page that has one; the lines of the body stay as they are."""
-    read = _read(pages, url_mapping, sample_pages)
-    stuffed = keyword_pages.judged(read.where("words IS NOT NULL"), url_mapping, edges).where("keyword_page").select("doc_id")
-    good = read.where("NOT residue").join(stuffed, "doc_id", "left_anti").select("doc_id", "lines")
+    kept, good = _read(pages, url_mapping, edges, sites, site_pages)
     pieces = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("t"), (i + 1).cast("int").alias("k")))
-    kept = F.transform(F.filter(pieces, lambda p: ~F.array_contains(F.col("lines"), p["k"])), lambda p: p["t"])
-    return one_per_id(pages).join(good, "doc_id").select("doc_id", F.array_join(kept, "\n").alias("body"))
+    left = F.transform(F.filter(pieces, lambda p: ~F.array_contains(F.col("lines"), p["k"])), lambda p: p["t"])
+    return kept.select("doc_id", "text").join(good, "doc_id").select("doc_id", F.array_join(left, "\n").alias("body"))

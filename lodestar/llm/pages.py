@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import strip, url_host
+from lodestar.session import written
 from lodestar.sources.files import documents, page_id
 
 
 def one_per_id(pages: DataFrame) -> DataFrame:
     """``(doc_id, text)``: one row per doc_id; of rows that differ the latest counts, then the greatest text.
 
-    Rows without a doc_id are dropped, as nothing could be said of them. The text is shuffled once, by doc_id, and a
-    join on doc_id that follows reuses that order.
+    Rows without a doc_id are dropped, as nothing could be said of them.
     """
     return documents(pages)
 
@@ -29,5 +29,11 @@ def sites(url_mapping: DataFrame) -> DataFrame:
 
 
 def site_pages(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
-    """``(doc_id, text, host)``; host is NULL for a page without a URL."""
-    return one_per_id(pages).join(sites(url_mapping).select("doc_id", "host"), "doc_id", "left")
+    """``(doc_id, text, host, site)``; host and its number, site, are NULL for a page without a URL: it has no site."""
+    site = F.when(F.col("host").isNotNull(), F.xxhash64("host")).alias("site")
+    return one_per_id(pages).join(sites(url_mapping).select("doc_id", "host"), "doc_id", "left").select("doc_id", "text", "host", site)
+
+
+def kept_pages(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
+    """The same, written once to the shared folder: the only time that texts are shuffled, however often they are read."""
+    return written(site_pages(pages, url_mapping))

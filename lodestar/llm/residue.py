@@ -1,8 +1,10 @@
 """Pages that hold template residue, filler text, error messages or script notices where content should be.
 
-Folded lines are counted per site; lines that recur there are boilerplate and subtracted, as are lines that are page
-furniture by their form. What remains of a page, the residual, is judged: placeholders and filler count wherever they
-stand in it, messages only if the residual is little besides.
+Folded lines are counted by host, and lines that recur on their host are subtracted as boilerplate. What remains of a
+page, the residual, is judged. Placeholders and Latin filler tell by their form, wherever they stand in it. Messages
+in general terms (a status, a refusal, a demand for scripts) count if the residual is little besides. What else
+such pages say is learned: a line that several hosts have, and that stands mostly on pages with evidence in another
+line, is evidence itself; a line that reads like a message but stands mostly on pages with prose is a notice.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.llm.furniture import FILLER_PHRASES, MESSAGE, Line, Page, Reader, folded
-from lodestar.llm.site_lines import with_recurrent_lines
+from lodestar.llm.lines import FUNCTION_WORDS, Line, Reader, code_of, folded, site_name, without_name
+from lodestar.llm.pages import kept_pages
+from lodestar.session import cut_lineage, join_by_weight
 
 _NAME = r"[A-Za-z_][\w.]*"
 # Forms of slots in template languages and mail-merge tools, with one name each.
@@ -29,65 +33,158 @@ _SLOT_PARTS = ("{", "[", "<", "%", "$", "@@", "__", "*|")  # no placeholder is w
 
 # The commonest words of Latin filler.
 LATIN_FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris".split())
+# Filler in common use, as whole lines.
+FILLER = re.compile(
+    r"^\W*(?:lorem ipsum|(?:your|insert|enter|add|type) .{0,30}\bhere|(?:text|title|headline|description|content|caption|image|name) goes here"
+    r"|(?:sample|dummy|example|placeholder|filler|blind) ?(?:text|copy|title|heading|paragraph|content|page)\b.{0,16}|(?:x{3,}|asdf|test)(?: (?:x{3,}|asdf|jkl|test))+|tb[da]|to ?do|lipsum|loading|(?:content |page )?coming soon|(?:page |site )?under construction)\W*\d*\W*$"
+)
+# How servers, sign-in walls and script notices put it in general, in the languages of the crawl, digits as 0.
+MESSAGE = re.compile(
+    r"^\W*(?:http|error|erreur|fehler|erro)\W{0,2}0\b|^0 ?[–—:-]? ?(?:error|not found|forbidden|gone|bad)|\bnot found\b|could not find the (?:page|file)|page (?:does not|doesn’t|doesn't|no longer) exist|no longer (?:exists|available)"
+    r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|internal server error|error establishing|database error|fatal error|traceback \(most recent|uncaught \w+|parse error|syntax error|\bjava\.lang\b|exception (?:at|in) "
+    r"|access (?:to .{1,40} )?(?:is |was )?denied|permission denied|not authori[sz]ed|account (?:has been |is )?suspended|session (?:has )?expired|please log in|sign in to|must be logged in|not available in your (?:region|country)"
+    r"|not a robot|too many requests|rate limit|captcha|you are human|unusual traffic|something went wrong|under maintenance"
+    r"|java ?script|(?:enable|allow|run|turn on|activate|block) \w* ?scripts?\b|scripts? (?:are|is) (?:blocked|disabled|off|required|needed)|noscript|\b(?:without|ohne|sin|sans|sem) s[ck]ript"
+    r"|no encontrad[ao]|\bno existe\b|acceso denegado|no disponible|introuvable|accès (?:refusé|interdit)|n[’']existe (?:pas|plus)|indisponible"
+    r"|nicht gefunden|zugriff verweigert|nicht (?:erreichbar|verfügbar)|não encontrad[ao]|acesso negado|indisponível"
+)
+_SENTENCE = re.compile(r"(?<=[.!?…]) +")
 
-RESIDUAL_WORDS = 60
-RESIDUAL_SENTENCES = 4
-
-
-def residual(page: Page) -> list[int]:
-    """Indexes of the lines that are neither blank nor furniture nor recurrent on the site."""
-    return [i for i, r in enumerate(page.rule) if r == 0]
+LEAST_PAGES, SHARE_OF = 4, 5  # a line recurs on a host with it on 4 pages and on a fifth of them
+HOSTS = 3  # hosts of a learned line
+EVIDENT_PAGES, EVIDENT = 5, 0.5  # pages, and share of its pages, that have other evidence
+NOTICE_PAGES, NOTICE_BARE = 8, 0.5
+RESIDUAL_WORDS, RESIDUAL_SENTENCES = 60, 4
 
 
 def is_filler(x: Line) -> bool:
-    """Known filler phrases, Latin filler, and sentences of eight or more Latin-script words without any function word."""
-    if len(x.text) < 110 and FILLER_PHRASES.search(folded(x.text)):
+    """Filler in common use, Latin filler, and sentences of eight or more Latin-script words without any function word."""
+    if len(x.words) < 20 and FILLER.search(folded(x.text)):
         return True
-    if x.function_share >= 0.12 or x.words < 3:
+    if x.function_share >= 0.12 or len(x.words) < 3:
         return False
     found = x.text.lower().replace(",", " ").replace(".", " ").split()
     latin = sum(map(LATIN_FILLER.__contains__, found))
     if latin >= 2 or latin * 14 >= len(found):
         return True
-    return x.closed and x.function_share < 0.02 and x.words >= 8 * max(1, x.sentences) and not x.digits and x.separators == 0 and "," not in x.text and x.text.isascii()
-
-
-def has_residue(page: Page) -> bool:
-    """Whether the residual of the page holds a placeholder or filler, or is a message."""
-    kept = [page.lines[i] for i in residual(page)]
-    for x in kept:
-        text = x.text
-        if any(map(text.__contains__, _SLOT_PARTS)) and PLACEHOLDER.search(text):
-            return True
-        if ("NaN" in text or "undefined" in text) and UNFILLED.search(text) or x.words <= 6 and _EMPTY_VALUE.match(text):
-            return True
-        if (x.function_share < 0.12 or len(text) < 110 and x.words < 20) and is_filler(x):
-            return True
-    # messages are short lines; a page whose long lines make a body isn't one
-    words = sum(x.words for x in kept if len(x.text) >= 260)
-    prose = sum(x.sentences for x in kept if len(x.text) >= 260)
-    message = False
-    if words > RESIDUAL_WORDS or prose > RESIDUAL_SENTENCES:
+    if len(set(found)) * 2 < len(found):  # a repeated keyword
         return False
-    for x in kept:
-        if len(x.text) < 260:
-            if MESSAGE.search(folded(x.text)):
-                message = True
-            else:
-                words += x.words
-                prose += x.sentences
-    return message and words <= RESIDUAL_WORDS and prose <= RESIDUAL_SENTENCES
+    return x.closed and x.function_share < 0.02 and len(x.words) >= 8 * max(1, x.sentences) and not x.digits and x.parts == 1 and "," not in x.text and x.text.isascii()
+
 
+def is_residue(x: Line) -> bool:
+    """Whether a line holds a placeholder, a value never filled in, or filler."""
+    text = x.text
+    if any(map(text.__contains__, _SLOT_PARTS)) and PLACEHOLDER.search(text):
+        return True
+    if ("NaN" in text or "undefined" in text) and UNFILLED.search(text) or len(x.words) <= 6 and _EMPTY_VALUE.match(text):
+        return True
+    return is_filler(x)
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def besides(x: Line) -> tuple[bool, int, int]:
+    """Whether the line holds a message, and the words and sentences of prose besides it, whatever its length."""
+    low = folded(x.text)
+    pieces = _SENTENCE.split(low) if x.sentences > 1 else [low]
+    message = False
+    words = sentences = 0
+    for p in pieces:
+        if MESSAGE.search(p):
+            message = True
+            continue
+        own = p.split()
+        if len(own) >= 5 and p[-1] in ".!?…”\"" and not FUNCTION_WORDS.isdisjoint(own):
+            words += len(own)
+            sentences += 1
+    return message, words, sentences
+
+
+_COLUMNS = "doc_id string, site bigint, residue boolean, message boolean, bare boolean, code array<bigint>, kind array<tinyint>, words array<int>, sentences array<int>"
+RESIDUE, MESSAGING, EVIDENCED = 1, 2, 4  # kinds of lines: evidence, a message, other evidence on the page
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = Reader()
+    known: dict[tuple[str, str], tuple] = {}
+
+    def seen(x: Line, name: str) -> tuple:
+        key = (x.text, name)
+        made = known.get(key)
+        if made is None:
+            made = (code_of(without_name(folded(x.text), name)), is_residue(x), *besides(x))
+            if len(x.text) < 120:
+                if len(known) > 200_000:
+                    known.clear()
+                known[key] = made
+        return made
+
     for batch in batches:
-        ids, texts, hosts, recurrent = (batch.column(k).to_pylist() for k in range(4))
-        found = [
-            i for i, t, h, r in zip(ids, texts, hosts, recurrent, strict=True)
-            if t and t.strip() and has_residue(reader.page(t, h, frozenset(r or ())))
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["doc_id"])
+        out: list[list] = [[] for _ in range(9)]
+        for doc_id, text, host, site in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if not text or not text.strip():
+                continue
+            name = site_name(host)
+            lines: dict[int, list] = {}
+            long = 0
+            for x in reader.page(text):
+                if x is None:
+                    continue
+                code, residue, message, words, sentences = seen(x, name if name and name[:5] in x.text.lower() else "")
+                long += not message and not residue and x.prose
+                if code in lines:
+                    lines[code][1] += words
+                    lines[code][2] += sentences
+                else:
+                    lines[code] = [RESIDUE * residue + MESSAGING * message, words, sentences]
+            bare = long == 0
+            evident = sum(bool(v[0] & RESIDUE) or bare and bool(v[0] & MESSAGING) for v in lines.values())
+            for v in lines.values():
+                if evident - (bool(v[0] & RESIDUE) or bare and bool(v[0] & MESSAGING)) > 0:
+                    v[0] |= EVIDENCED
+            row = (
+                doc_id, site, any(v[0] & RESIDUE for v in lines.values()), long <= 3 and any(v[0] & MESSAGING for v in lines.values()), bare,
+                list(lines), [v[0] for v in lines.values()], [v[1] for v in lines.values()], [v[2] for v in lines.values()],
+            )
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
+
+
+def residue_of(kept: DataFrame) -> DataFrame:
+    """``(doc_id)`` of the pages to exclude, from ``(doc_id, text, host, site)``."""
+    rows = cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read, _COLUMNS))
+    line = F.inline(F.arrays_zip("code", "kind", "words", "sentences"))
+    pages_of = rows.where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("pages"))
+    lines = rows.where("site IS NOT NULL").select("site", "bare", line)
+    has = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) > 0
+    counted = lines.groupBy("site", "code").agg(
+        F.count("*").alias("n"), F.sum(has(EVIDENCED).cast("int")).alias("evidenced"), F.sum(F.col("bare").cast("int")).alias("bare"), F.max(has(MESSAGING)).alias("message")
+    )
+    counted = cut_lineage(counted)
+    by_code = counted.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum("evidenced").alias("evidenced"), F.sum("bare").alias("bare"), F.max("message").alias("message"))
+    by_code = by_code.where(F.col("hosts") >= HOSTS).select(
+        "code", "n",
+        ((F.col("evidenced") >= EVIDENT_PAGES) & (F.col("evidenced") >= EVIDENT * F.col("n"))).alias("evidence"),
+        (F.col("message") & (F.col("n") >= NOTICE_PAGES) & (F.col("bare") < NOTICE_BARE * F.col("n"))).alias("notice"),
+    )
+    by_code = cut_lineage(by_code)
+    learned = rows.select("doc_id", F.explode("code").alias("code")).join(by_code.where("evidence AND NOT notice").select("code"), "code", "left_semi").select("doc_id").distinct()
+    # the residual of pages that may be found: their lines without those that recur on the host
+    own = cut_lineage(rows.where("residue OR message").select("doc_id", "site", line).withColumn("residue", has(RESIDUE)).withColumn("message", has(MESSAGING)).drop("kind"))
+    sized = counted.join(pages_of, "site").where((F.col("n") >= LEAST_PAGES) & (F.col("n") * SHARE_OF >= F.col("pages"))).select("site", "code", "n", F.lit(True).alias("recurs"))
+    # a page without a site has no recurrent lines
+    residual = cut_lineage(join_by_weight(own, cut_lineage(sized), ["site", "code"], "n", how="left").where("recurs IS NULL").select("doc_id", "code", "residue", "message", "words", "sentences"))
+    told = join_by_weight(residual, by_code, ["code"], "n", how="left")
+    shared, notice = F.col("n").isNotNull(), F.coalesce("notice", F.lit(False))
+    judged = told.groupBy("doc_id").agg(
+        F.max("residue").alias("residue"),
+        F.max(F.col("message") & ~notice).alias("message"),
+        F.sum(F.when(shared, 0).otherwise(F.col("words"))).alias("words"),
+        F.sum(F.when(shared, 0).otherwise(F.col("sentences"))).alias("sentences"),
+    )
+    found = judged.where(F.col("residue") | F.col("message") & (F.col("words") <= RESIDUAL_WORDS) & (F.col("sentences") <= RESIDUAL_SENTENCES)).select("doc_id")
+    return found.union(learned).distinct()
 
 
 def residue_pages(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
@@ -96,7 +193,7 @@ def residue_pages(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
     NULL, empty and blank pages aren't listed, nor are pages whose whole body only mentions such things. Pages without
     a URL belong to no site, so none of their lines recur.
     """
-    return with_recurrent_lines(pages, url_mapping).mapInArrow(_judge, "doc_id string")
+    return residue_of(kept_pages(pages, url_mapping))
 
 
 def without_residue(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
