@@ -18,7 +18,7 @@ from math import log
 import numpy as np
 
 from lodestar.llm.boosting import Boosted, train
-from lodestar.llm.lines import Line, Reader, bulleted, folded, language_of, site_name, without_name
+from lodestar.llm.lines import Line, Reader, bulleted, language_of, site_name, without_name
 
 TOKENS = 4000
 MIXED_PRICE = 0.25
@@ -90,7 +90,7 @@ class Features:
         n = len(x.words)
         if n >= 25:
             return (n, len(x.text), x.function_share, x.sentences, x.closed, x.digits, x.parts, 0.0, 0.0, 0.0, 0.0, False, False)
-        key = (x.text, name if name and name[:5] in x.text.lower() else "")
+        key = (x.text, name if name and name[:5] in x.low else "")
         made = self.own.get(key)
         if made is None:
             odds = [self.weights[w] for w in tokens_of(x, key[1]) if w in self.weights]
@@ -183,7 +183,7 @@ def weak_labels(pages: list[tuple[list[Line | None], str, str]]) -> list[dict[in
 
     Shares are taken among the pages of one language, on the site and altogether.
     """
-    coded = [[None if x is None else without_name(folded(x.text), name) for x in lines] for lines, name, _ in pages]
+    coded = [[None if x is None else without_name(x.low, name) for x in lines] for lines, name, _ in pages]
     groups = [(site, language_of(lines)) for lines, _, site in pages]
     size, every = Counter(groups), Counter(k for _, k in groups)
     near: dict[tuple, Counter] = defaultdict(Counter)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.lines import FUNCTION_WORDS, Line, Reader, code_of, folded, site_name, without_name
+from lodestar.llm.lines import FUNCTION_WORDS, Line, Reader, code_of, site_name, without_name
 from lodestar.llm.pages import kept_pages
 from lodestar.session import cut_lineage, join_by_weight
 
@@ -48,6 +48,12 @@ MESSAGE = re.compile(
     r"|no encontrad[ao]|\bno existe\b|acceso denegado|no disponible|introuvable|accès (?:refusé|interdit)|n[’']existe (?:pas|plus)|indisponible"
     r"|nicht gefunden|zugriff verweigert|nicht (?:erreichbar|verfügbar)|não encontrad[ao]|acesso negado|indisponível"
 )
+# Every message has one of these; they are quicker to look for.
+_HINTS = (
+    "erro erreur fehler http forbidden found gone bad exist no\xa0longer gateway unavailable traceback uncaught java exception denied authori suspended expired log\xa0in sign\xa0in logged"
+    " not\xa0available robot requests rate\xa0limit captcha human unusual wrong maintenance script skript encontrad denegado disponi introuvable refusé interdit gefunden verweigert erreichbar verfügbar negado"
+).split(" ")
+_HINTS = tuple(h.replace("\xa0", " ") for h in _HINTS)
 _SENTENCE = re.compile(r"(?<=[.!?…]) +")
 
 LEAST_PAGES, SHARE_OF = 4, 5  # a line recurs on a host with it on 4 pages and on a fifth of them
@@ -59,7 +65,7 @@ RESIDUAL_WORDS, RESIDUAL_SENTENCES = 60, 4
 
 def is_filler(x: Line) -> bool:
     """Filler in common use, Latin filler, and sentences of eight or more Latin-script words without any function word."""
-    if len(x.words) < 20 and FILLER.search(folded(x.text)):
+    if len(x.words) < 20 and FILLER.search(x.low):
         return True
     if x.function_share >= 0.12 or len(x.words) < 3:
         return False
@@ -84,7 +90,10 @@ def is_residue(x: Line) -> bool:
 
 def besides(x: Line) -> tuple[bool, int, int]:
     """Whether the line holds a message, and the words and sentences of prose besides it, whatever its length."""
-    low = folded(x.text)
+    low = x.low
+    if not any(map(low.__contains__, _HINTS)):
+        n = len(x.words)
+        return (False, n, max(1, x.sentences)) if n >= 5 and x.function_share and (x.closed or x.sentences) else (False, 0, 0)
     pieces = _SENTENCE.split(low) if x.sentences > 1 else [low]
     message = False
     words = sentences = 0
@@ -111,7 +120,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (x.text, name)
         made = known.get(key)
         if made is None:
-            made = (code_of(without_name(folded(x.text), name)), is_residue(x), *besides(x))
+            made = (code_of(without_name(x.low, name)), is_residue(x), *besides(x))
             if len(x.text) < 120:
                 if len(known) > 200_000:
                     known.clear()
@@ -129,7 +138,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in reader.page(text):
                 if x is None:
                     continue
-                code, residue, message, words, sentences = seen(x, name if name and name[:5] in x.text.lower() else "")
+                code, residue, message, words, sentences = seen(x, name if name and name[:5] in x.low else "")
                 long += not message and not residue and x.prose
                 if code in lines:
                     lines[code][1] += words
