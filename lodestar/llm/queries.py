@@ -32,6 +32,10 @@ def p4_clean(spark, d):
     return repeated_lines.without_repeated_lines(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
 
 
+def p4_passages(spark, d):
+    return repeated_lines.repeated_passages(_t(spark, d, "pages"), _t(spark, d, "url_mapping"))
+
+
 def p7_found(spark, d):
     return keyword_pages.keyword_pages(_t(spark, d, "pages"), _t(spark, d, "url_mapping"), _t(spark, d, "web_graph"))
 
@@ -86,4 +90,4 @@ def p10_restored(spark, d):
     return mojibake.restored(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p4_passages, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
