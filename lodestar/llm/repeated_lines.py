@@ -98,12 +98,12 @@ class Chunker:
             starts = np.maximum(np.r_[0, ends[:-1]], page_start[of])
             per_page = np.zeros(len(pages), np.int64)
             per_page[count > 0] = np.bincount(of, minlength=len(page_end))
-            return Cuts(count, start, end, self._hashes(prefix, start, end), starts, ends, self._hashes(prefix, starts, ends), per_page)
+            return Cuts(count, start, end, self._hashes(prefix, start, end), starts, ends, self._hashes(prefix, starts, ends), per_page, np.isin(ends, page_end))
 
 
 @dataclass
 class Cuts:
-    """Lines per page; start, end and hash of each line and of each chunk; chunks per page."""
+    """Lines per page; start, end and hash of each line and of each chunk; chunks per page, and those that end with their page."""
 
     count: np.ndarray
     start: np.ndarray
@@ -113,10 +113,11 @@ class Cuts:
     ends: np.ndarray
     chunk: np.ndarray
     per_page: np.ndarray
+    forced: np.ndarray
 
     def inner(self, repeated: np.ndarray) -> np.ndarray:
-        """The lines within which no chunk lies that isn't repeated; chunks whose cuts depend on the line before don't tell."""
-        other = np.r_[0, np.cumsum(~repeated)]
+        """The lines within which no chunk lies that isn't repeated; chunks cut by what stands before the line, or by the end of the page, don't tell."""
+        other = np.r_[0, np.cumsum(~repeated & ~self.forced)]
         first, last = np.searchsorted(self.starts, self.start + WINDOW, side="left"), np.searchsorted(self.ends, self.end, side="right")
         return other[np.maximum(first, last)] == other[first]
 
