@@ -224,7 +224,10 @@ def _lines_of(covered: bool):
                     if common is None:
                         if len(sets) > 2000:
                             sets.clear()
-                        common = sets[site] = np.sort(part.column(3)[i].values.to_numpy())
+                        found = part.column(3)[i].values
+                        common = sets[site] = np.zeros(0, np.int64) if found is None else np.sort(found.to_numpy())
+                    if not len(common):
+                        continue
                     own = cuts.chunk[at[i] : at[i + 1]]
                     place = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     repeated[at[i] : at[i + 1]] = common[place] == own
@@ -243,7 +246,7 @@ def _near(kept: DataFrame, least: int, share_of: int, covered: bool) -> tuple[Da
     counted = own.select("site", "text").mapInArrow(_chunks, "site bigint, chunk bigint, n bigint").groupBy("site", "chunk").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # a site repeats at most share_of times the chunks that its pages have on average
     common = counted.join(pages_of, "site").where(F.col("n") * share_of >= F.col("pages")).groupBy("site").agg(F.first("pages").alias("pages"), F.collect_list("chunk").alias("common"))
-    near = join_by_weight(own.select("doc_id", "text", "site"), cut_lineage(common), ["site"], "pages")
+    near = join_by_weight(own.select("doc_id", "text", "site"), cut_lineage(common), ["site"], "pages", how="left")
     rows = near.select("doc_id", "text", "site", "common").mapInArrow(_lines_of(covered), "doc_id string, site bigint, line_no int, line bigint")
     return rows, pages_of
 
