@@ -50,3 +50,8 @@ tails AS (SELECT *, 1 - pow(1 - x[1], 4) AS t1, 6 * pow(x[2], 2) * pow(1 - x[2],
 scored AS (SELECT *, round(least(1.0, 4 * least(t1, t2, t3, t4)), 9) AS rho FROM tails)
 SELECT query_id, url, n_hits, rank_score, rank_tf_idf, rank_coordination, rank_page_rank, rho, rank() OVER (PARTITION BY query_id ORDER BY rho) AS place FROM scored""",
 }
+_SCORED = SQL["p6_ranking"].rsplit("SELECT query_id, url, n_hits", 1)[0]
+SQL["p6_top"] = f"""
+{_SCORED}
+SELECT query_id, url, rho, CAST(place AS INTEGER) AS place FROM (
+  SELECT query_id, url, rho, row_number() OVER (PARTITION BY query_id ORDER BY rho, round(list_sum(x), 9), url NULLS FIRST) AS place FROM scored) WHERE place <= 10"""

@@ -66,6 +66,10 @@ def p6_ranking(spark, d):
     return rank_fusion.fused_ranking(_t(spark, d, "search_results")).withColumn("rho", F.round("rho", 9))
 
 
+def p6_top(spark, d):
+    return rank_fusion.best_fused(_t(spark, d, "search_results"))
+
+
 def p8_ids(spark, d):
     return encode.encoded(_t(spark, d, "documents"))
 
@@ -90,4 +94,4 @@ def p10_restored(spark, d):
     return mojibake.restored(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p4_passages, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p4_passages, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p6_top, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
