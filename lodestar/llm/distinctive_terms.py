@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.pages import one_per_id
@@ -24,7 +24,7 @@ TERM = re.compile(r"\b[a-z]{3,}\b")
 HELD_TERMS = 400_000
 _ROWS = pa.schema([("term", pa.string()), ("doc_id", pa.string()), ("tf", pa.int64()), ("dl", pa.int64()), ("df", pa.int64()), ("cf", pa.int64())])
 _BLOCKS = pa.schema([("block", pa.string()), ("term", pa.string()), ("at", pa.int32()), ("df", pa.int64()), ("cf", pa.int64()), ("packed", pa.binary())])
-_SCORED = "doc_id string, term string, tf bigint, dl bigint, df bigint, cf bigint"
+_SCORED = "doc_id string, term string, tf bigint, df bigint, llr double"
 
 
 def terms(text: str | None) -> list[str]:
@@ -156,23 +156,43 @@ def _pack(min_tf: int):
     return run
 
 
-def _unpack(packed: pa.Table, known: pa.Table) -> pa.Table:
-    """The pairs of one block with the counts of their terms; terms without counts are left out."""
-    pages = pa.ipc.open_stream(packed["packed"][0].as_py()).read_next_batch()
-    at, tf = (pages.column(k).flatten().to_numpy() for k in (2, 3))
-    page = np.repeat(np.arange(len(pages)), np.diff(pages.column(2).offsets.to_numpy()))
-    places = known["at"].to_numpy()
-    row = np.full(max(at.max(initial=-1), places.max(initial=-1)) + 1, -1, np.int64)
-    row[places] = np.arange(len(places))
-    row = row[at]
-    kept = row >= 0
-    row, page = pa.array(row[kept]), pa.array(page[kept])
-    columns = [pages.column(0).take(page), known["term"].take(row), pa.array(tf[kept]), pages.column(1).take(page), known["df"].take(row), known["cf"].take(row)]
-    return pa.table(columns, names=["doc_id", "term", "tf", "dl", "df", "cf"])
+def _llr(tf: np.ndarray, dl: np.ndarray, cf: np.ndarray, total: int) -> np.ndarray:
+    """The same as log_likelihood, for arrays."""
+    tf, dl, cf = (x.astype(np.float64) for x in (tf, dl, cf))
+    cells = ((tf, dl, cf), (cf - tf, total - dl, cf), (dl - tf, dl, total - cf), (total - dl - (cf - tf), total - dl, total - cf))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = sum(np.where(seen > 0, seen * np.log(seen * total / (row * column)), 0.0) for seen, row, column in cells)
+    return 2 * np.where(tf * total >= dl * cf, g, -g)
+
+
+def _unpack(total: int, top: int | None):
+    """The pairs of one block with the counts and scores of their terms; of each page all, or the ``top`` best. Terms without counts are left out."""
+
+    def run(packed: pa.Table, known: pa.Table) -> pa.Table:
+        pages = pa.ipc.open_stream(packed["packed"][0].as_py()).read_next_batch()
+        at, tf = (pages.column(k).flatten().to_numpy() for k in (2, 3))
+        page = np.repeat(np.arange(len(pages)), np.diff(pages.column(2).offsets.to_numpy()))
+        places = known["at"].to_numpy()
+        row = np.full(max(at.max(initial=-1), places.max(initial=-1)) + 1, -1, np.int64)
+        row[places] = np.arange(len(places))
+        row = row[at]
+        kept = row >= 0
+        row, page, tf = row[kept], page[kept], tf[kept]
+        llr = _llr(tf, pages.column(1).to_numpy()[page], known["cf"].to_numpy()[row], total)
+        if top is not None:
+            terms_ = known["term"].to_numpy()[row] if len(row) else np.zeros(0, object)
+            order = np.lexsort((terms_, -np.round(llr, 6), page))
+            page, row, tf, llr = page[order], row[order], tf[order], llr[order]
+            first = np.arange(len(page)) - np.searchsorted(page, page, side="left") < top
+            page, row, tf, llr = page[first], row[first], tf[first], llr[first]
+        columns = [pages.column(0).take(pa.array(page)), known["term"].take(pa.array(row)), pa.array(tf), known["df"].take(pa.array(row)), pa.array(llr)]
+        return pa.table(columns, names=["doc_id", "term", "tf", "df", "llr"])
+
+    return run
 
 
-def _all_pairs(pages: DataFrame, min_tf: int, min_df: int) -> tuple[DataFrame, int]:
-    """``(doc_id, term, tf, dl, df, cf)`` of all pairs whose term stands in min_df pages or more, and the number of all places.
+def _all_pairs(pages: DataFrame, min_tf: int, min_df: int, top: int | None = None) -> DataFrame:
+    """``(doc_id, term, tf, df, llr)`` of all pairs whose term stands in min_df pages or more, or of the best ``top`` of each page.
 
     Pairs never meet the counts of their terms one by one: the terms of a block of pages do, once per block, and go to
     where the block's pairs are opened. A term on every page thus has one row per block.
@@ -186,7 +206,17 @@ def _all_pairs(pages: DataFrame, min_tf: int, min_df: int) -> tuple[DataFrame, i
     known = own.select("block", "term", "at").join(stats, "term").select(F.col("block").alias("of"), "term", "at", "df", "cf")
     packed = rows.where("packed IS NOT NULL").select("block", "packed")
     # a block none of whose terms is known, or without pairs, gives no rows
-    return packed.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_unpack, _SCORED), total
+    return packed.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_unpack(total, top), _SCORED)
+
+
+def top_terms(pages: DataFrame, top: int = 10, min_df: int = 2) -> DataFrame:
+    """``(doc_id, place, term, llr)``: the ``top`` most characteristic terms of each page, ties of the score (at six decimals) by term.
+
+    Terms of a single page, mostly misspellings, are left out by ``min_df``; common terms take part with the little they score.
+    """
+    rows = _all_pairs(pages, 1, min_df, top)
+    order = Window.partitionBy("doc_id").orderBy(F.round("llr", 6).desc(), "term")  # at most ``top`` rows of a page
+    return rows.select("doc_id", F.row_number().over(order).alias("place"), "term", "llr")
 
 
 def log_likelihood(tf: Column, dl: Column, cf: Column, total: Column) -> Column:
@@ -208,8 +238,7 @@ def distinctive_terms(pages: DataFrame, min_tf: int = 1, min_df: int = 1, max_df
     pairs stay packed by blocks of pages and only the terms of each block are joined with their counts.
     """
     if max_df is None:
-        pairs, total = _all_pairs(pages, min_tf, min_df)
-        return _scored(pairs, total)
+        return _all_pairs(pages, min_tf, min_df)
     rows = one_per_id(pages).mapInArrow(
         _count(min_tf, max_df), "term string, doc_id string, tf bigint, dl bigint, df bigint, cf bigint"
     )

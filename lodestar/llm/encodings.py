@@ -124,6 +124,8 @@ RARE_CYRILLIC = frozenset("ЂЃѓЉЊЌЋЏђљњќћџЎўЈјҐґЄєІіЇї
 
 def clean_shape(token: str) -> bool:
     """Whether a token looks like rightly decoded text: one script, ordinary case, signs only where they belong."""
+    if "ï»¿" in token:  # the mark of UTF-8 at the head of a file, read as Latin
+        return False
     core = token.strip(EDGE)
     if not core:
         return True

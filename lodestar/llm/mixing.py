@@ -2,8 +2,9 @@
 
 The mix is divided into blocks of equal size in tokens. Sainte-Lague apportionment gives each block to the source with
 the highest quotient share / (2 * blocks so far + 1), as long as the source has tokens left (its tokens times
-max_repeats). The quota of a source is divided among its shards in the same way, by their tokens; within a shard
-documents are taken in a seeded order until the quota is full. Only sums per source and shard reach the driver.
+max_repeats). The quota of a source is divided among its shards in the same way, by their tokens. A shard's documents, in
+a seeded order, are cut into blocks of that size, and its quota of blocks is selected. Only sums per source and
+shard reach the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 from fractions import Fraction
+from math import isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,23 +24,38 @@ from lodestar.llm.encode import token_counts
 from lodestar.session import cut_lineage
 
 BLOCKS = 20_000
-SHARDS = 64
 
 
 def sainte_lague(votes: dict, seats: int, limit: dict) -> dict:
     """Seats by highest quotients votes / (2 * seats + 1), never more than ``limit``; ties go to the lesser key.
 
-    Seats that nobody can take stay free. Keys without votes get none.
+    Seats that nobody can take stay free. Keys without votes get none. The count begins where every key has nearly its
+    proportional part, which it gets in any case, so the work doesn't depend on ``seats`` unless limits bind.
     """
     given = dict.fromkeys(votes, 0)
-    queue = [(-Fraction(v), k) for k, v in votes.items() if v > 0 and limit[k] > 0]
-    heapq.heapify(queue)
-    while seats > 0 and queue:
-        _, k = heapq.heappop(queue)
-        given[k] += 1
-        seats -= 1
-        if given[k] < limit[k]:
-            heapq.heappush(queue, (-Fraction(votes[k]) / (2 * given[k] + 1), k))
+    live = {k: Fraction(v) for k, v in votes.items() if v > 0 and limit[k] > 0}
+    while seats > 0 and live:
+        total = sum(live.values())
+        # nobody falls more than one seat for each rival behind its part, and who reaches its limit leaves its part to the others
+        sure = {k: min(limit[k] - given[k], max(0, int(v * (seats + sum(given[k] for k in live)) / total) - len(live) - given[k])) for k, v in live.items()}
+        for k, n in sure.items():
+            given[k] += n
+            seats -= n
+        full = [k for k in live if given[k] >= limit[k]]
+        for k in full:
+            del live[k]
+        if full:
+            continue
+        queue = [(-v / (2 * given[k] + 1), k) for k, v in live.items()]
+        heapq.heapify(queue)
+        while seats > 0 and queue:
+            _, k = heapq.heappop(queue)
+            given[k] += 1
+            seats -= 1
+            if given[k] >= limit[k]:
+                del live[k]
+                break
+            heapq.heappush(queue, (-live[k] / (2 * given[k] + 1), k))
     return given
 
 
@@ -55,15 +72,23 @@ class Plan:
     shard_tokens: dict[tuple[str, int], int]
     shard_quota: dict[tuple[str, int], int]
 
-    def cannot_fill(self) -> list[str]:
-        """Sources whose documents, all used as often as allowed, fall short of the target share.
+    def deficit(self) -> dict[str, int]:
+        """Tokens by which the documents of a source, all used as often as allowed, fall short of what it is apportioned.
 
-        The apportionment without limits tells which sources come near their limit (within a block); these are
-        compared exactly.
+        The apportionment without limits, of single tokens, tells what a source should give. It is whole tokens, so a
+        source within one token of its part is compared exactly.
         """
-        wish = sainte_lague(self.share, BLOCKS, dict.fromkeys(self.share, BLOCKS + 1))
-        near = [s for s in self.share if (wish[s] + 2) * self.block >= self.tokens[s] * self.repeats[s]]
-        return [s for s in near if self.tokens[s] * self.repeats[s] < self.share[s] * self.total]
+        wish = sainte_lague(self.share, self.total, dict.fromkeys(self.share, self.total + 1))
+        short = {}
+        for s in self.share:
+            able = self.tokens[s] * self.repeats[s]
+            lack = wish[s] - able
+            if abs(lack) <= len(self.share):
+                lack = 1 if able < self.share[s] * self.total else 0
+            if lack > 0:
+                short[s] = lack
+        # where there is nothing to mix nothing is lacking
+        return short
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -78,8 +103,13 @@ def targets_of(targets: DataFrame) -> DataFrame:
     )
 
 
-def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shards: int = SHARDS) -> DataFrame:
-    """``(doc_id, source, shard, n_tokens)`` of the documents of the targets' sources; one row per doc_id."""
+def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shards: int | None = None) -> DataFrame:
+    """``(doc_id, source, shard, n_tokens)`` of the documents of the targets' sources; one row per doc_id.
+
+    The number of shards grows with the root of the number of documents, so that neither a shard, which one task sorts,
+    nor the list of shards, which the driver holds, grows as the documents do.
+    """
+    shards = shards or 1 + isqrt(documents.count()) // 8
     own = documents.select("doc_id", folded(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND doc_id IS NOT NULL")
     wanted = own.join(targets_of(targets).select("source"), "source", "left_semi")
     counted = token_counts(wanted, vocabulary)
@@ -108,15 +138,20 @@ def plan(sizes: DataFrame, targets: DataFrame) -> Plan:
 
 def _mixed(sizes: DataFrame, made: Plan, seed: int) -> DataFrame:
     spark = sizes.sparkSession
-    quotas = [
-        (s, k, *divmod(min(round(q * made.block), n * made.repeats[s]), n), made.repeats[s]) if (n := made.shard_tokens[s, k]) else (s, k, 0, 0, made.repeats[s])
-        for (s, k), q in made.shard_quota.items()
-    ]
-    schema = T.StructType.fromDDL("source string, shard int, rounds bigint, rest bigint, repeats bigint")
+    quotas = []
+    for (s, k), q in made.shard_quota.items():
+        n = made.shard_tokens[s, k]
+        own = n / made.block  # blocks that the shard has
+        rounds = min(int(q / own), made.repeats[s]) if n else 0
+        quotas.append((s, k, rounds, float(q - rounds * own) if n else 0.0, made.repeats[s], float(made.block)))
+    schema = T.StructType.fromDDL("source string, shard int, rounds bigint, rest double, repeats bigint, block double")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sizes.withColumn("_before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     joined = ranked.join(spark.createDataFrame(quotas, schema), ["source", "shard"])
-    extra = (F.col("_before") * 2 + F.col("n_tokens") <= F.col("rest") * 2).cast("bigint")
+    # the seeded order of a shard is cut into blocks of equal tokens; the first ``rest`` of them are selected, and with
+    # a block the documents whose middle lies in it
+    middle = (F.col("_before") + F.col("n_tokens") / 2) / F.col("block")
+    extra = (middle <= F.col("rest")).cast("bigint")
     copies = F.least(F.col("rounds") + extra, F.col("repeats"))
     return joined.select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
 
@@ -135,7 +170,7 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_V
     """``(source, target_share, reached_share, tokens, mixed_tokens, quota_blocks, fillable)``, a row per target."""
     sizes = cut_lineage(sized(documents, targets, vocabulary))
     made = plan(sizes, targets)
-    short = set(made.cannot_fill())
+    short = set(made.deficit())
     got = _mixed(sizes, made, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     rows = [(s, float(made.share[s]), made.tokens[s], made.quota[s], s not in short) for s in made.share]
     named = sizes.sparkSession.createDataFrame(rows, "source string, target_share double, tokens bigint, quota_blocks bigint, fillable boolean")
@@ -148,4 +183,4 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_V
 def unfillable(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``(source)``: targets that can't be reached even if all their documents are used max_repeats times."""
     sizes = sized(documents, targets, vocabulary)
-    return documents.sparkSession.createDataFrame([(s,) for s in plan(sizes, targets).cannot_fill()], "source string")
+    return documents.sparkSession.createDataFrame([(s,) for s in plan(sizes, targets).deficit()], "source string")

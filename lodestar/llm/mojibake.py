@@ -14,23 +14,32 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.encodings import CHAINS, COMMON_LETTERS, COMMON_SIGNS, certain, clean_shape, garble, garbled_forms
 from lodestar.session import cut_lineage
 
-TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
+# Scripts that set no blanks between words; their runs are cut into pieces of at most eight characters.
+_RUNNING = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{_RUNNING}]{{1,8}}|[A-Za-z]*[^\x00-\x7f{_RUNNING}](?:[A-Za-z]|[^\x00-\x7f{_RUNNING}])*")
 OFTENER = 4  # times that an original must be more frequent than a garbled form which looks like a word itself
-SALTS = 8
+PER_SALT = 100_000  # documents of the commonest garbled word for each salt
 HELD = 200_000
+LONG = 24  # longer runs, as garbled text without blanks is, are no words: they are read where they stand
 
 
-def tokens(text: str) -> list[str]:
-    """Maximal runs of ASCII letters and other than ASCII characters with at least one of the latter."""
+def runs(text: str) -> list[str]:
+    """Runs of ASCII letters and other than ASCII characters with at least one of the latter."""
     return [] if text.isascii() else TOKEN.findall(text)
 
 
+def tokens(text: str) -> list[str]:
+    """The runs that count as words."""
+    return [t for t in runs(text) if len(t) <= LONG]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the task with the number of its texts they stand in."""
     seen: Counter = Counter()
@@ -139,9 +148,10 @@ def _read_rest(characters):
     return run
 
 
-def garbled_words(documents: DataFrame) -> DataFrame:
-    """``(token, original, weight)``: garbled words, with NULL for an original that can't be told.
+def garbled_words(documents: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``(token, original, weight, n)``: garbled words, with NULL for an original that can't be told; n texts hold the word.
 
+    With them the characters for reading what isn't a word.
     Short words that could be rightly decoded text by their form, as with Cyrillic read as other Cyrillic, weigh less.
     """
     spark = documents.sparkSession
@@ -152,22 +162,37 @@ def garbled_words(documents: DataFrame) -> DataFrame:
     pairs = words.join(forms, "token").where(f"NOT clean OR often >= {OFTENER} * n")
     order = Window.partitionBy("token").orderBy(F.col("often").desc(), "chain", "original")
     found = pairs.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("token", "original", "clean")
-    found = cut_lineage(found.mapInArrow(_weigh, "token string, original string, weight int"))
+    found = cut_lineage(found.mapInArrow(_weigh, "token string, original string, weight int").join(words.select("token", "n"), "token"))
     rest = words.where("NOT clean").join(found, "token", "left_anti").select("token")
     # at most as many as Unicode has characters; the whole set is needed wherever a rest is read
     characters = [r.c for r in words.where("clean").select(F.explode(F.split("token", "")).alias("c")).where("c > '\x7f'").distinct().collect()]
-    read = rest.mapInArrow(_read_rest(spark.sparkContext.broadcast(sorted({*characters, *COMMON_SIGNS, *COMMON_LETTERS}))), "token string, original string, weight int")
-    return found.unionByName(read)
+    sent = spark.sparkContext.broadcast(sorted({*characters, *COMMON_SIGNS, *COMMON_LETTERS}))
+    read = rest.mapInArrow(_read_rest(sent), "token string, original string, weight int")
+    return found.unionByName(read.join(words.select("token", "n"), "token")), sent
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, out = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = sorted(set(tokens(text))) if text else []
-            ids.extend([doc_id] * len(own))
-            out.extend(own)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "token"])
+def _pairs(characters: Broadcast):
+    """The different words of each document; runs too long for words with what they are read as, if they are garbled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = None
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t in sorted(set(runs(text))) if text else ():
+                    row = (doc_id, t, None, None)
+                    if len(t) > LONG:
+                        reader = reader or CharacterReader(characters.value)
+                        got = None if clean_shape(t) else reader.read(t)
+                        if not got and "\ufffd" not in t:
+                            continue
+                        row = (doc_id, t, got[0] if got else None, 2)
+                    for column, v in zip(out, row, strict=True):
+                        column.append(v)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "token", "original", "weight"])
+
+    return run
 
 
 def garbled_pairs(documents: DataFrame) -> DataFrame:
@@ -176,10 +201,14 @@ def garbled_pairs(documents: DataFrame) -> DataFrame:
     A document counts if its words weigh 2 or more. Words are salted by document, so a word that a third of the
     documents hold is spread over several tasks.
     """
-    bad = cut_lineage(garbled_words(documents))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    pairs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_pairs, "doc_id bigint, token string").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    hits = cut_lineage(pairs.join(bad.select("token", "original", "weight", salts), ["token", "salt"]).select("doc_id", "token", "original", "weight").distinct())
+    bad, characters = garbled_words(documents)
+    bad = cut_lineage(bad)
+    salts = 1 + (bad.agg(F.max("n").alias("n")).first().n or 0) // PER_SALT
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    pairs = own.mapInArrow(_pairs(characters), "doc_id bigint, token string, original string, weight int")
+    spread = bad.select("token", F.col("original").alias("_original"), F.col("weight").alias("_weight"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    known = pairs.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(spread, ["token", "salt"], "left").where("weight IS NOT NULL OR _weight IS NOT NULL")
+    hits = cut_lineage(known.select("doc_id", "token", F.coalesce("original", "_original").alias("original"), F.coalesce("weight", "_weight").alias("weight")).distinct())
     judged = hits.groupBy("doc_id").agg(F.sum("weight").alias("_w")).where("_w >= 2").select("doc_id")
     return hits.join(judged, "doc_id")
 

@@ -36,9 +36,9 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM folded JOIN counted USIN
     "p5_scores": f"""
 WITH {_TERMS},
 cells AS (SELECT doc_id, term, tf, df, CAST(tf AS DOUBLE) AS a, CAST(cf - tf AS DOUBLE) AS b, CAST(dl - tf AS DOUBLE) AS c, CAST(n - dl - cf + tf AS DOUBLE) AS d,
-          CAST(dl AS DOUBLE) AS dl, CAST(cf AS DOUBLE) AS cf, CAST(n AS DOUBLE) AS n FROM tf JOIN df USING (term) JOIN dl USING (doc_id), n WHERE tf >= 2 AND df BETWEEN 2 AND 12)
+          CAST(dl AS DOUBLE) AS dl, CAST(cf AS DOUBLE) AS cf, CAST(n AS DOUBLE) AS n FROM tf JOIN df USING (term) JOIN dl USING (doc_id), n)
 SELECT doc_id, term, tf, df, round(2 * CASE WHEN a * n >= dl * cf THEN 1 ELSE -1 END * (a * ln(a * n / (dl * cf)) + CASE WHEN b > 0 THEN b * ln(b * n / ((n - dl) * cf)) ELSE 0 END
-  + CASE WHEN c > 0 THEN c * ln(c * n / (dl * (n - cf))) ELSE 0 END + CASE WHEN d > 0 THEN d * ln(d * n / ((n - dl) * (n - cf))) ELSE 0 END), 6) AS llr FROM cells""",
+  + CASE WHEN c > 0 THEN c * ln(c * n / (dl * (n - cf))) ELSE 0 END + CASE WHEN d > 0 THEN d * ln(d * n / ((n - dl) * (n - cf))) ELSE 0 END), 3) + 0.0 AS llr FROM cells""",
     "p6_found": f"""
 WITH {_RANKS}
 SELECT DISTINCT query_id, url FROM wide WHERE n_hits >= 10 AND (rank_score <= 3 IS TRUE)::INT + (rank_tf_idf <= 3 IS TRUE)::INT + (rank_coordination <= 3 IS TRUE)::INT + (rank_page_rank <= 3 IS TRUE)::INT >= 3""",
@@ -55,3 +55,7 @@ SQL["p6_top"] = f"""
 {_SCORED}
 SELECT query_id, url, rho, CAST(place AS INTEGER) AS place FROM (
   SELECT query_id, url, rho, row_number() OVER (PARTITION BY query_id ORDER BY rho, round(list_sum(x), 9), url NULLS FIRST) AS place FROM scored) WHERE place <= 10"""
+SQL["p5_top"] = f"""
+WITH scored AS ({SQL["p5_scores"].replace("), 3) + 0.0 AS llr", "), 6) AS llr")}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY llr DESC, term) AS place FROM scored WHERE df >= 2)
+SELECT doc_id, CAST(place AS INTEGER) AS place, term, round(llr, 3) AS llr FROM placed WHERE place <= 10"""

@@ -49,13 +49,12 @@ def p5_found(spark, d):
 
 
 def p5_scores(spark, d):
-    rows = distinctive_terms.distinctive_terms(_t(spark, d, "pages"), min_tf=2, min_df=2, max_df=12)
-    return rows.withColumn("llr", F.round("llr", 6))
+    """The score of every term of every page."""
+    return distinctive_terms.distinctive_terms(_t(spark, d, "pages")).withColumn("llr", F.round("llr", 3) + 0.0)
 
 
-def p5_all_scores(spark, d):
-    """The score of every term of every page; p5_scores gives those its SQL asks for, terms on 2 to 12 pages that a page repeats."""
-    return distinctive_terms.distinctive_terms(_t(spark, d, "pages")).withColumn("llr", F.round("llr", 6))
+def p5_top(spark, d):
+    return distinctive_terms.top_terms(_t(spark, d, "pages")).withColumn("llr", F.round(F.round("llr", 6), 3))
 
 
 def p6_found(spark, d):
@@ -94,4 +93,4 @@ def p10_restored(spark, d):
     return mojibake.restored(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p4_passages, p7_found, p7_evidence, p5_found, p5_scores, p5_all_scores, p6_found, p6_ranking, p6_top, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_bodies, p4_found, p4_clean, p4_passages, p7_found, p7_evidence, p5_found, p5_scores, p5_top, p6_found, p6_ranking, p6_top, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_restored)}
