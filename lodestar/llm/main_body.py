@@ -91,4 +91,4 @@ def main_bodies(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, site
     kept, good = _read(pages, url_mapping, edges, sites, site_pages)
     pieces = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("t"), (i + 1).cast("int").alias("k")))
     left = F.transform(F.filter(pieces, lambda p: ~F.array_contains(F.col("lines"), p["k"])), lambda p: p["t"])
-    return kept.select("doc_id", "text").join(good, "doc_id").select("doc_id", F.array_join(left, "\n").alias("body"))
+    return kept.select("doc_id", "text").join(good, "doc_id").select("doc_id", F.array_join(left, "\n").alias("body")).where("body RLIKE '[^\\\\s\\\\p{Z}]'")

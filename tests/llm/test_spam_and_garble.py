@@ -2,7 +2,7 @@ import pytest
 
 from lodestar.llm import keyword_pages, mojibake
 from lodestar.llm.encodings import CHAINS, LOSSY, clean_shape, garble, garbled_forms
-from lodestar.llm.furniture import Reader
+from lodestar.llm.lines import read_line
 
 PAGES = "doc_id string, text string, fetched_at timestamp, links bigint"
 URLS = "id bigint, url string, words string"
@@ -28,36 +28,44 @@ HAM = [
 ]
 
 
-def _flag(text):
-    seen = keyword_pages.evidence(Reader().page(text, None))
-    return seen is not None and (seen.listed >= keyword_pages.SURE_LISTED or seen.phrase >= keyword_pages.SURE_PHRASE)
+TITLES = " | ".join(["Reading the tracks of a kestrel", "Night hunters of the reef", "What the owl eats in May", "The wolf of the fen", "A winter with the pack", "Return of the grey lynx"])
 
 
-@pytest.mark.parametrize("text", SPAM)
-def test_spam(text):
-    assert _flag(text)
-
-
-@pytest.mark.parametrize("text", HAM)
-def test_ham(text):
-    assert not _flag(text)
+def _tables(spark, rows, links=()):
+    pages = spark.createDataFrame([(d, t, None, 0) for d, t, _ in rows], PAGES)
+    urls = spark.createDataFrame([(int(d[5:-4]), u, "x") for d, _, u in rows], URLS)
+    return pages, urls, spark.createDataFrame([*links, (None, None, None)], EDGES)
 
 
 def test_keyword_pages(spark):
-    mixed = SPAM[0].split("\n")[0] + "\n" + PROSE  # in doubt by itself, but stitched from phrases of other sites
-    rows = [(f"page_{i}.txt", t) for i, t in enumerate(SPAM + HAM)] + [("page_50.txt", None), ("page_51.txt", SPAM[0]), ("page_52.txt", SPAM[0]), ("page_53.txt", mixed), ("page_54.txt", mixed.replace("owl", "elk"))]
-    pages = spark.createDataFrame([(d, t, None, 0) for d, t in [*rows, rows[0]]], PAGES)
-    urls = spark.createDataFrame([(int(d[5:-4]), f"http://s{i}.test/", "x") for i, (d, _) in enumerate(rows)], URLS)
-    edges = spark.createDataFrame([(" HTTP://S0.test/", "b", "c")] * 3 + [(None, None, None)], EDGES)
-    got = keyword_pages.keyword_evidence(pages, urls, edges).collect()
+    rows = [(f"page_{i}.txt", t, f"http://s{i}.test/") for i, t in enumerate(SPAM + HAM)] + [("page_50.txt", None, "http://x.test/")]
+    # the refrain differs, what is said around it is the same on three hosts
+    rows += [(f"page_{60 + i}.txt", SPAM[5].replace("owl toy", x), f"http://r{i}.test/") for i, x in enumerate(("elk mask", "fox shirt", "bear pin"))]
+    # a list of titles is spam if other hosts have the titles, and none if nobody has
+    rows += [(f"page_{70 + i}.txt", "\n".join([TITLES] * 3), f"http://t{i}.test/") for i in range(3)]
+    rows += [("page_80.txt", TITLES.replace("the", "our").replace("of a", "by some"), "http://u.test/")]
+    rows += [("page_81.txt", "\n".join(f"http://fox-{x}.example/" for x in ("one", "two", "six")) + "\nowl mask, owl pin, owl toy, fox pin, elk mask", "http://v.test/")]
+    got = keyword_pages.keyword_evidence(*_tables(spark, [*rows, rows[0]], [(" HTTP://S0.test/", "b", "c")] * 3)).collect()
     assert len({r.doc_id for r in got}) == len(got)
     by = {r.doc_id: r for r in got}
-    assert {d for d, r in by.items() if r.keyword_page} == {f"page_{i}.txt" for i in (0, 1, 2, 3, 4, 5, 51, 52, 53)}
-    assert by["page_0.txt"].links == 3 and by["page_0.txt"].replicated == 1.0 and by["page_1.txt"].replicated == 0.0
+    assert {d for d, r in by.items() if r.keyword_page} == {f"page_{i}.txt" for i in (0, 1, 2, 3, 4, 5, 60, 61, 62, 70, 71, 72, 81)}
+    assert by["page_0.txt"].links == 3 and by["page_70.txt"].replicated == 1.0 == by["page_60.txt"].replicated and by["page_80.txt"].replicated < keyword_pages.REPLICATED
     none = [spark.createDataFrame([], s) for s in (PAGES, URLS, EDGES)]
     assert keyword_pages.keyword_pages(*none).count() == 0
 
 
+def test_pages_without_a_host_are_no_site(spark):
+    rows = [(f"page_{i}.txt", "\n".join([TITLES] * 3), None) for i in range(5)]
+    assert keyword_pages.keyword_pages(*_tables(spark, rows)).count() == 0
+
+
+def test_shingles_of_lines():
+    shingle, at = keyword_pages.Shingler(3).of(["a b c d\na b", "", "x\nA b, c!"])
+    assert at.tolist() == [0, 0, 2] and shingle[0] == shingle[2] != shingle[1]
+    assert keyword_pages.slotted("owl toy is the best owl toy for owl toy fans".split())[0] == keyword_pages.SLOT
+    assert keyword_pages.kind_of(read_line("The wolf of the fen went home on its own before the rain came.")) == keyword_pages.PLAIN
+
+
 @pytest.mark.parametrize("word", ["São", "Übung", "żółw", "лес", "été", "群れ", "won’t", "½", "狼"])
 def test_every_form_can_be_told_from_the_word(word):
     forms = garbled_forms(word)

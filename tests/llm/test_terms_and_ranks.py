@@ -51,7 +51,7 @@ def test_every_pair_has_a_score(spark, tmp_path):
     # "wolf" and "lynx" on 25 pages, above any limit, and terms that occur once, in one page
     rows = [(f"p{i}", f"wolf wolf only{chr(97 + i)}x lynx") for i in range(25)] + [("e", ""), ("n", None), ("x", "single")]
     _pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
-    got = queries.QUERIES["p5_all_scores"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["p5_scores"](spark, str(tmp_path)).collect()
     want = {(d, t): n for d, x in rows for t, n in Counter(re.findall(r"\b[a-z]{3,}\b", x or "")).items()}
     assert {(r.doc_id, r.term): r.tf for r in got} == want and len(got) == len(want)
     df = Counter(t for _, t in want)
@@ -60,6 +60,14 @@ def test_every_pair_has_a_score(spark, tmp_path):
     assert score["x", "single"] > score["p3", "onlydx"] > abs(score["p3", "wolf"])
 
 
+def test_top_terms(spark):
+    rows = [(f"p{i}", f"wolf wolf rare{chr(97 + i // 2)}x rare{chr(97 + i // 2)}x lynx only{chr(97 + i)}") for i in range(20)] + [("e", ""), ("n", None)]
+    got = distinctive_terms.top_terms(_pages(spark, rows), top=2).collect()
+    best = {r.doc_id: r.term for r in got if r.place == 1}
+    assert len(got) == 40 and best == {f"p{i}": f"rare{chr(97 + i // 2)}x" for i in range(20)}  # common terms count little, those of one page are left out
+    assert distinctive_terms.top_terms(_pages(spark, [])).count() == 0
+
+
 HITS = "query_id bigint, url string, score double, tf_idf double, coordination double, page_rank double, run_at timestamp, rank string"
 
 
@@ -101,6 +109,16 @@ def test_fused_ranking_matches_brute_force(spark):
     assert [g[4] for g in got] == pytest.approx([w[4] for w in want], abs=2e-9)
 
 
+def test_best_fused(spark):
+    rows = _rows()
+    got = rank_fusion.best_fused(spark.createDataFrame(rows, HITS), top=5).collect()
+    assert len({(r.query_id, r.place) for r in got}) == len(got)
+    for q in {r[0] for r in rows if r[0] is not None}:
+        want = sorted(rho for h, (_, _, rho, _) in _brute(rows).items() if h[0] == q)[:5]
+        assert sorted(r.rho for r in got if r.query_id == q) == pytest.approx(want, abs=2e-9)
+    assert rank_fusion.best_fused(spark.createDataFrame([], HITS)).count() == 0
+
+
 def test_agreed_best(spark):
     rows = _rows()
     want = {(h[0], h[1]) for h, (n, own, *_) in _brute(rows).items() if n >= 10 and sum(x is not None and x <= 3 for x in own) >= 3}

@@ -62,6 +62,20 @@ def test_apportionment():
     assert mixing.sainte_lague({"a": 1}, 5, {"a": 2}) == {"a": 2}
 
 
+def test_apportionment_seat_by_seat():
+    random.seed(11)
+    for _ in range(500):
+        keys = range(random.randint(1, 7))
+        votes, limit = {k: random.choice([0, 1, random.randint(1, 900)]) for k in keys}, {k: random.choice([0, 3, 999, random.randint(0, 99)]) for k in keys}
+        seats = random.randint(0, 300)
+        want = dict.fromkeys(keys, 0)
+        for _ in range(seats):
+            able = [k for k in keys if votes[k] and want[k] < limit[k]]
+            if able:
+                want[min(able, key=lambda k: (-Fraction(votes[k], 2 * want[k] + 1), k))] += 1
+        assert mixing.sainte_lague(votes, seats, limit) == want
+
+
 TARGETS = "source string, target_share double, max_repeats int, n_tokens bigint"
 
 
