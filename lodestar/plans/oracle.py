@@ -196,3 +196,20 @@ SQL["result_overlap"] = f"""
 WITH own AS (SELECT query_id, lower({_strip("url")}) AS url_key FROM ({SQL["search_hybrid"]})),
 given AS (SELECT DISTINCT query_id, lower({_strip("url")}) AS url_key FROM search_results WHERE url IS NOT NULL)
 SELECT g.query_id, count(*) AS stored, count(own.url_key) AS found FROM given g LEFT JOIN own ON own.query_id = g.query_id AND own.url_key = g.url_key GROUP BY g.query_id"""
+SQL["search_loaded"] = SQL["search_hybrid"]
+SQL["index_extended"] = SQL["postings_tf"]
+_TOP_HITS = "SELECT CAST(row_number() OVER (ORDER BY round(x, 12) DESC, node) AS INTEGER) AS place, node AS url, round(x, 8) AS score FROM {0} ORDER BY round(x, 12) DESC, node LIMIT 5"
+SQL["authorities_top"] = f"WITH {_hits()} {_TOP_HITS.format('a20')}"
+SQL["hubs_top"] = f"WITH {_hits()} {_TOP_HITS.format('h20')}"
+SQL["link_scores_saved"] = f"SELECT p.url, pagerank, hub, authority FROM ({SQL['pagerank']}) p JOIN ({SQL['hits']}) h ON p.url = h.url"
+SQL["page_files"] = f"WITH {_INDEX} SELECT doc_id, replace(coalesce(text, ''), chr(65533), '') AS text FROM docs"
+SQL["map_file"] = f"WITH {_INDEX} SELECT doc_id, url FROM urls"
+SQL["edge_file"] = "SELECT src, dst FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL"
+SQL["crawl_state_file"] = f"""
+WITH {_INDEX}, v AS (SELECT DISTINCT url FROM urls), f AS (SELECT DISTINCT dst AS url FROM web_graph WHERE src IS NOT NULL AND dst IS NOT NULL)
+SELECT url, 'visited' AS state FROM v UNION ALL SELECT url, 'frontier' FROM f WHERE url NOT IN (SELECT url FROM v)"""
+_ASKED_TEXT = rf"regexp_replace({_strip('query_text')}, '\s+', ' ', 'g')"
+SQL["query_file"] = f"""
+WITH k AS (SELECT DISTINCT query_id, section, {_ASKED_TEXT} AS q FROM query_set WHERE query_text IS NOT NULL AND section IS NOT NULL AND {_strip('query_text')} <> '')
+SELECT row_number() OVER (ORDER BY section, query_id) AS query_id, section, q AS query_text FROM k"""
+SQL["competitor_file"] = "SELECT DISTINCT CAST(query_id AS VARCHAR) AS query, 'stored' AS engine, '' AS title, url, '' AS snippet FROM search_results WHERE url IS NOT NULL AND query_id IS NOT NULL"

@@ -9,6 +9,7 @@ from lodestar.functions.stem import english_stopwords, porter
 from lodestar.operators import audit, cooccurrence, graph, heavy_keys, index, ranking, rocchio
 from lodestar.plans import expansion
 from lodestar.session import read_table as _t
+from lodestar.session import shared_folder
 from lodestar.sources import files
 
 # One query that many pages answer, for what works on one query at a time.
@@ -122,6 +123,86 @@ def hits(spark, d):
     return graph.hits(_edges(spark, d)).withColumns({c: F.round(c, 8) for c in ("hub", "authority")})
 
 
+def authorities_top(spark, d):
+    return graph.top_nodes(graph.hits(_edges(spark, d)), "authority").withColumn("score", F.round("score", 8))
+
+
+def hubs_top(spark, d):
+    return graph.top_nodes(graph.hits(_edges(spark, d)), "hub").withColumn("score", F.round("score", 8))
+
+
+def link_scores_saved(spark, d):
+    """All link scores of a crawl, saved and read again."""
+    path = shared_folder(spark)
+    files.save_link_scores(graph.link_scores_table(_edges(spark, d)), path)
+    return files.read_link_scores(spark, path).withColumn("pagerank", F.round("pagerank", 9)).withColumns({c: F.round(c, 8) for c in ("hub", "authority")})
+
+
+def search_loaded(spark, d):
+    """Search on an index that was saved and loaded again."""
+    path = shared_folder(spark)
+    _index(spark, d).save(path)
+    return _hits(ranking.search(index.Index.load(spark, path), _queries(spark, d), _urls(spark, d)))
+
+
+def index_extended(spark, d):
+    """Postings of an index that took the pages in two batches, the second with pages it had already."""
+    path, docs = shared_folder(spark), _docs(spark, d)
+    index.start(spark, path)
+    index.extend(path, docs.where("hash(doc_id) % 3 = 0"), "first")
+    return index.extend(path, docs, "second").postings
+
+
+def page_files(spark, d):
+    """Pages written as one text file each and read again."""
+    path = shared_folder(spark)
+    files.write_pages(_docs(spark, d), path)
+    return files.read_pages(spark, path)
+
+
+def map_file(spark, d):
+    path = shared_folder(spark)
+    files.write_json(_t(spark, d, "url_mapping").select("id", "url"), path)
+    return files.read_url_map(spark, path)
+
+
+def edge_file(spark, d):
+    path = shared_folder(spark)
+    files.write_json(_t(spark, d, "web_graph").select("src", "dst"), path)
+    return files.read_edges(spark, path)
+
+
+def crawl_state_file(spark, d):
+    """Visited and frontier URLs saved and read again: the pages, and the link targets that aren't pages."""
+    path = shared_folder(spark)
+    visited = _urls(spark, d).select("url").distinct()
+    frontier = _edges(spark, d).select(F.col("dst").alias("url")).distinct().join(visited, "url", "left_anti")
+    files.write_crawl_state(visited, frontier, path)
+    seen, ahead = files.read_crawl_state(spark, path)
+    return seen.withColumn("state", F.lit("visited")).union(ahead.withColumn("state", F.lit("frontier")))
+
+
+def query_file(spark, d):
+    """The query set written in its headed text form and read again."""
+    path = shared_folder(spark)
+    kept = _t(spark, d, "query_set").where("query_text IS NOT NULL AND section IS NOT NULL").select("query_id", "section", text.strip(F.regexp_replace("query_text", r"\s+", " ")).alias("q")).where("q <> ''").distinct()
+    numbered = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "q"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["q"]))
+    parts = kept.groupBy("section").agg(F.concat_ws("\n", F.concat(F.initcap("section"), F.lit(" queries")), F.array_join(numbered, "\n")).alias("value"))
+    # a query set is written by hand, so it is one small file
+    parts.agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("value")).coalesce(1).write.text(path)
+    return files.read_query_set(spark, path)
+
+
+def competitor_file(spark, d):
+    """Stored hits written as one object of hit lists by query and read again."""
+    path = shared_folder(spark)
+    hit = F.struct(F.lit("stored").alias("engine"), F.lit("").alias("title"), "url", F.lit("").alias("snippet"))
+    lists = _t(spark, d, "search_results").where("url IS NOT NULL AND query_id IS NOT NULL").groupBy(F.col("query_id").cast("string").alias("q")).agg(F.collect_set(hit).alias("hits"))
+    # the comparison file holds the hits of a handful of queries
+    lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("q", "hits")))).alias("value")).coalesce(1).write.text(path)
+    return files.read_competitors(spark, path)
+
+
 def _first_words(spark, d):
     return _queries(spark, d).select(F.split(F.lower(text.strip(F.col("query_text"))), r"\s+")[0].alias("term")).where("term <> ''").distinct()
 
@@ -185,6 +266,18 @@ def local_vocab(spark, d):
     return audit.vocabulary(made, [r.doc_id for r in good.collect()])
 
 
+def rocchio_run(spark, d):
+    return expansion.rocchio_run(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d), None)
+
+
+def demo_batch(spark, d):
+    return _rounded(expansion.demo_batch(_index(spark, d).kept(), _docs(spark, d), _queries(spark, d), _urls(spark, d), _scores(spark, d)), "score")
+
+
+def report(spark, d):
+    return expansion.report(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d), None)
+
+
 def crawl_audit(spark, d):
     return audit.crawl_audit(_docs(spark, d), _t(spark, d, "web_graph"))
 
@@ -217,6 +310,7 @@ QUERIES = {
     for f in (
         postings_tf, term_df, doc_lengths, collection_stats, search_hybrid, search_vsm, search_logtf, search_with_pagerank, query_edge_cases, doc_metadata, url_keys, page_links, page_text,
         graph_stats, pagerank, pagerank_top, hits, assoc_terms, metric_terms, scalar_terms, expand_cluster, cluster_run, rocchio_identity, rocchio_porter, expand_rocchio, ui_search, compare_six, local_vocab,
+        authorities_top, hubs_top, link_scores_saved, search_loaded, index_extended, page_files, map_file, edge_file, crawl_state_file, query_file, competitor_file, rocchio_run, demo_batch, report,
         crawl_audit, crawl_frontier, result_overlap, p3_found, p3_degrees,
     )
 }

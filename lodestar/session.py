@@ -42,11 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder, for wide rows; it is deleted when the program ends."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of a new folder among the shared ones; it is deleted when the program ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +14,7 @@ from lodestar.functions.text import normalise_url, strip
 
 URL_MAP = "id LONG, url STRING"
 EDGES = "src STRING, dst STRING"
-CHECKPOINT = "visited ARRAY<STRING>, frontier ARRAY<STRING>"
 COMPETITORS = "MAP<STRING, ARRAY<STRUCT<engine: STRING, title: STRING, url: STRING, snippet: STRING>>>"
-FRONTIER_SAVED = 50_000
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,11 +23,26 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     read = files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), text.alias("text"))
-    # Spark passes over files of no bytes; its own listing, which the driver holds anyway, has them
+    # Spark passes over files of no bytes; its own listing, which the driver holds anyway for every file it reads, has them
     listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in files.inputFiles()], "doc_id string")
     return listed.join(read, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def write_pages(docs: DataFrame, folder: str) -> None:
+    """One text file per row of ``docs(doc_id, text)``, named by its id, in a folder that all executors reach; a NULL text is an empty file."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write((text or "").encode("utf-8", "replace"))
+            yield batch.select([0]).slice(0, 0)
+
+    docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(put, "doc_id string").write.format("noop").mode("overwrite").save()
+
+
 def page_id(n: Column) -> Column:
     return F.concat(F.lit("page_"), n.cast("string"), F.lit(".txt"))
 
@@ -61,10 +77,11 @@ def link_scores(scores: DataFrame) -> DataFrame:
 
 
 def documents(pages: DataFrame) -> DataFrame:
-    """``(doc_id, text)``: one row per doc_id, the latest, then the one of the greatest text; NULL ids are left out."""
-    newest = Window.partitionBy("doc_id").orderBy(F.col("fetched_at").desc(), F.col("text").desc())
-    before = F.lag("doc_id").over(newest)  # a filter on row_number would make Spark sort all texts before the shuffle, too
-    return pages.select("doc_id", "text", "fetched_at").where("doc_id IS NOT NULL").withColumn("_before", before).where("_before IS NULL").select("doc_id", "text")
+    """``(doc_id, text)``: one row per doc_id, the latest, then the one of the greatest text; NULL ids are left out.
+
+    Copies of one id are reduced before the shuffle, so no task meets all of them.
+    """
+    return pages.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by("text", F.struct("fetched_at", "text")).alias("text"))
 
 
 def read_query_set(spark: SparkSession, path: str) -> DataFrame:
@@ -90,10 +107,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_crawl_state(state: DataFrame, path: str) -> None:
-    """Save one row of visited and frontier URLs; of the frontier the first 50,000 are kept."""
-    state.select("visited", F.slice("frontier", 1, FRONTIER_SAVED).alias("frontier")).write.mode("overwrite").json(path)
+def write_crawl_state(visited: DataFrame, frontier: DataFrame, path: str, most: int | None = None) -> None:
+    """Save visited and frontier URLs, ``(url)`` each, as JSON lines; of the frontier all, or the first ``most`` in order of URL."""
+    visited.select("url").write.mode("overwrite").json(f"{path}/visited")
+    (frontier if most is None else frontier.orderBy("url").limit(most)).select("url").write.mode("overwrite").json(f"{path}/frontier")
+
+
+def read_crawl_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Visited and frontier URLs of a saved crawl."""
+    return tuple(spark.read.schema("url STRING").json(f"{path}/{part}") for part in ("visited", "frontier"))
+
+
+def save_link_scores(scores: DataFrame, path: str) -> None:
+    """Save ``(url, pagerank, hub, authority)``."""
+    scores.select("url", "pagerank", "hub", "authority").write.mode("overwrite").parquet(path)
 
 
-def read_crawl_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHECKPOINT).json(path)
+def read_link_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url STRING, pagerank DOUBLE, hub DOUBLE, authority DOUBLE").parquet(path)

@@ -28,10 +28,26 @@ def test_files(spark, tmp_path):
     (tmp_path / "other.json").write_text(json.dumps({"q": [hit, hit], "none": []}, indent=1))
     assert [tuple(r) for r in files.read_competitors(spark, str(tmp_path / "other.json")).collect()] == [("q", "e", "t", "u", None)] * 2
 
-    state = spark.createDataFrame([(["a"], ["b"] * 50_001)], files.CHECKPOINT)
-    files.write_crawl_state(state, str(tmp_path / "state"))
-    r = files.read_crawl_state(spark, str(tmp_path / "state")).first()
-    assert r.visited == ["a"] and len(r.frontier) == 50_000
+    ahead = spark.createDataFrame([(f"b{i:05}",) for i in range(50_001)], "url string")
+    files.write_crawl_state(spark.createDataFrame([("a",)], "url string"), ahead, str(tmp_path / "state"))
+    visited, frontier = files.read_crawl_state(spark, str(tmp_path / "state"))
+    assert [r.url for r in visited.collect()] == ["a"] and frontier.count() == 50_001
+    files.write_crawl_state(visited.limit(0), ahead, str(tmp_path / "less"), most=7)
+    visited, frontier = files.read_crawl_state(spark, str(tmp_path / "less"))
+    assert visited.count() == 0 and sorted(r.url for r in frontier.collect()) == [f"b{i:05}" for i in range(7)]
+
+
+def test_pages_as_files(spark, tmp_path):
+    docs = spark.createDataFrame([("page_1.txt", "Wölf"), ("page 2%+.txt", ""), ("page_3.txt", None), (None, "x")], "doc_id string, text string")
+    files.write_pages(docs, str(tmp_path / "pages"))
+    got = {r.doc_id: r.text for r in files.read_pages(spark, str(tmp_path / "pages")).collect()}
+    assert got == {"page_1.txt": "Wölf", "page 2%+.txt": "", "page_3.txt": ""}
+
+
+def test_link_scores_as_file(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 0.5, 0.25, 1.0)], "url string, pagerank double, hub double, authority double")
+    files.save_link_scores(scores, str(tmp_path / "scores"))
+    assert [tuple(r) for r in files.read_link_scores(spark, str(tmp_path / "scores")).collect()] == [("a", 0.5, 0.25, 1.0)]
 
 
 def test_one_row_per_document(spark):
