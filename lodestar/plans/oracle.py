@@ -213,3 +213,20 @@ SQL["query_file"] = f"""
 WITH k AS (SELECT DISTINCT query_id, section, {_ASKED_TEXT} AS q FROM query_set WHERE query_text IS NOT NULL AND section IS NOT NULL AND {_strip('query_text')} <> '')
 SELECT row_number() OVER (ORDER BY section, query_id) AS query_id, section, q AS query_text FROM k"""
 SQL["competitor_file"] = "SELECT DISTINCT CAST(query_id AS VARCHAR) AS query, 'stored' AS engine, '' AS title, url, '' AS snippet FROM search_results WHERE url IS NOT NULL AND query_id IS NOT NULL"
+
+
+def _expanded(measure: str) -> str:
+    return f"""
+near_{measure} AS ({_best(measure, 8)}),
+sum_{measure} AS (SELECT s.query_id, b.term, sum(score * log10((SELECT CAST(count(*) AS DOUBLE) FROM urls) / df)) AS score FROM single s JOIN near_{measure} b USING (seed) JOIN dfs USING (term)
+  WHERE NOT list_contains(w, b.term) AND len(b.term) >= 4 AND b.term NOT IN {_STOP} GROUP BY ALL),
+add_{measure} AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS added FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS place FROM sum_{measure}) WHERE place <= 3 GROUP BY query_id)"""
+
+
+_MEASURES = ("association", "metric", "scalar")
+SQL["expand_cluster"] = rf"""
+WITH {_INDEX}, {_ASKED},
+named AS (SELECT query_id, query_text, coalesce(list_filter(string_split(lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))), ' '), lambda x: x <> '' AND x NOT IN {_STOP}), []) AS w FROM asked),
+single AS (SELECT query_id, w, unnest(w) AS seed FROM named), seeds AS (SELECT DISTINCT seed FROM single), {_RELATED}, {",".join(map(_expanded, _MEASURES))}
+SELECT n.query_id, {", ".join(f"CASE WHEN len(w) = 0 THEN query_text ELSE query_text || ' ' || coalesce(a_{m}.added, '') END AS {m}" for m in _MEASURES)}
+FROM named n {" ".join(f"LEFT JOIN add_{m} a_{m} ON a_{m}.query_id = n.query_id" for m in _MEASURES)}"""

@@ -225,7 +225,12 @@ def scalar_terms(spark, d):
 
 
 def expand_cluster(spark, d):
-    return expansion.expand_cluster(_index(spark, d).kept(), _queries(spark, d), _urls(spark, d).count(), "association")
+    """Each query expanded by each of the three measures, without the stopwords of the index."""
+    made, asked, n = _index(spark, d).kept(), _queries(spark, d), _urls(spark, d).count()
+    out = asked.select("query_id")
+    for m in cooccurrence.MEASURES:
+        out = out.join(expansion.expand_cluster(made, asked, n, m, frozenset(text.INDEX_STOPWORDS)).withColumnRenamed("expanded", m), "query_id", "left")
+    return out
 
 
 def _as_is(c):
