@@ -23,6 +23,8 @@ _LANGUAGES = [frozenset(x.split()) for x in FUNCTION_LINES.strip().split("\n")]
 LINK = re.compile(r"https?://|www\.|\b[a-z0-9][\w-]*\.(?:example|test|com|org|net|info|biz|shop)\b", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[^\W\d_]+|0|[^\w\s.,;'’\"]")
+_WORDS = re.compile(r"[^\W\d_]+")
+SHOWN = 200  # characters; longer lines are prose or lists of words, whose tokens aren't attributes
 _PARTS = re.compile(r" [|·/>»›-] | {3,}|[|»›]")
 _END = re.compile(r"[.!?…。][\"”’»)]*$")
 _BULLET = re.compile(r"[-*•–]\s")
@@ -83,8 +85,8 @@ def read_line(raw: str) -> Line | None:
     if not text:
         return None
     low = folded(text)
-    shown = tuple(_TOKEN.findall(low)) if len(text) < 400 else ()
-    words = [w for w in (shown or _TOKEN.findall(low)) if w[0].isalpha()]
+    shown = tuple(_TOKEN.findall(low)) if len(text) < SHOWN else ()
+    words = [w for w in shown if w.isalpha()] if shown else _WORDS.findall(low)
     n = len(words)
     share = sum(map(FUNCTION_WORDS.__contains__, words)) / n if n else 0.0
     closed = text[-1] in ".!?…。" or text[-1] in "\"”’»)" and bool(_END.search(text))

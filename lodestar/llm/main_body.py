@@ -70,8 +70,9 @@ def _read(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int
     """The kept pages, and ``(doc_id, lines)`` of those that have a body."""
     kept = kept_pages(pages, url_mapping)
     model, weights = fit(_sample(kept, sites, site_pages))
-    stuffed = keyword_pages.judged(keyword_pages.evidence_of(kept, url_mapping, edges)).where("keyword_page").select("doc_id")
-    without = residue.residue_of(kept).unionByName(stuffed).distinct()
+    read = residue.lines_of(kept, entry_of=keyword_pages.kind_of)  # one reading for both operators
+    stuffed = keyword_pages.judged(keyword_pages.evidence_of(read, kept, url_mapping, edges)).where("keyword_page").select("doc_id")
+    without = residue.residue_of(read).unionByName(stuffed).distinct()
     good = kept.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "host").join(without, "doc_id", "left_anti")
     return kept, good.mapInArrow(_lines(model, weights), "doc_id string, lines array<int>")
 

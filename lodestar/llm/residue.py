@@ -10,7 +10,7 @@ line, is evidence itself; a line that reads like a message but stands mostly on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,12 +48,12 @@ MESSAGE = re.compile(
     r"|no encontrad[ao]|\bno existe\b|acceso denegado|no disponible|introuvable|accès (?:refusé|interdit)|n[’']existe (?:pas|plus)|indisponible"
     r"|nicht gefunden|zugriff verweigert|nicht (?:erreichbar|verfügbar)|não encontrad[ao]|acesso negado|indisponível"
 )
-# Every message has one of these; they are quicker to look for.
-_HINTS = (
-    "erro erreur fehler http forbidden found gone bad exist no\xa0longer gateway unavailable traceback uncaught java exception denied authori suspended expired log\xa0in sign\xa0in logged"
-    " not\xa0available robot requests rate\xa0limit captcha human unusual wrong maintenance script skript encontrad denegado disponi introuvable refusé interdit gefunden verweigert erreichbar verfügbar negado"
-).split(" ")
-_HINTS = tuple(h.replace("\xa0", " ") for h in _HINTS)
+# Every message begins with a status or has one of these; they are quicker to look for.
+_HINTS = tuple(
+    "error|erreur|fehler|erro 0|http 0|http/0|not found|not find|t exist|longer|bad gateway|gateway time|unavailable|traceback|uncaught|java|exception|denied|authori|suspended|expired|log in|sign in|logged"
+    "|not available|robot|requests|rate limit|captcha|are human|unusual|went wrong|maintenance|script|skript|encontrad|existe|denegado|disponi|introuvable|refusé|interdit|gefunden|verweigert|erreichbar"
+    "|verfügbar|negado|erro\xa00".split("|")
+)
 _SENTENCE = re.compile(r"(?<=[.!?…]) +")
 
 LEAST_PAGES, SHARE_OF = 4, 5  # a line recurs on a host with it on 4 pages and on a fifth of them
@@ -91,7 +91,7 @@ def is_residue(x: Line) -> bool:
 def besides(x: Line) -> tuple[bool, int, int]:
     """Whether the line holds a message, and the words and sentences of prose besides it, whatever its length."""
     low = x.low
-    if not any(map(low.__contains__, _HINTS)):
+    if low[0] != "0" and not low.startswith("erro") and not any(map(low.__contains__, _HINTS)):
         n = len(x.words)
         return (False, n, max(1, x.sentences)) if n >= 5 and x.function_share and (x.closed or x.sentences) else (False, 0, 0)
     pieces = _SENTENCE.split(low) if x.sentences > 1 else [low]
@@ -108,61 +108,75 @@ def besides(x: Line) -> tuple[bool, int, int]:
     return message, words, sentences
 
 
-_COLUMNS = "doc_id string, site bigint, residue boolean, message boolean, bare boolean, code array<bigint>, kind array<tinyint>, words array<int>, sentences array<int>"
+_COLUMNS = "doc_id string, site bigint, residue boolean, message boolean, bare boolean, code array<bigint>, kind array<tinyint>, words array<int>, sentences array<int>, entry array<tinyint>, size array<int>"
+_TYPES = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int32()))
 RESIDUE, MESSAGING, EVIDENCED = 1, 2, 4  # kinds of lines: evidence, a message, other evidence on the page
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader()
-    known: dict[tuple[str, str], tuple] = {}
-
-    def seen(x: Line, name: str) -> tuple:
-        key = (x.text, name)
-        made = known.get(key)
-        if made is None:
-            made = (code_of(without_name(x.low, name)), is_residue(x), *besides(x))
-            if len(x.text) < 120:
-                if len(known) > 200_000:
-                    known.clear()
-                known[key] = made
-        return made
-
-    for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
-        for doc_id, text, host, site in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if not text or not text.strip():
-                continue
-            name = site_name(host)
-            lines: dict[int, list] = {}
-            long = 0
-            for x in reader.page(text):
-                if x is None:
+def _read(residue: bool, entry_of: Callable[[Line], int] | None):
+    """Per page its different lines: code, and as asked for evidence of residue and the kind of entry. What isn't asked for is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        known: dict[tuple[str, str], tuple] = {}
+
+        def seen(x: Line, name: str) -> tuple:
+            key = (x.text, name)
+            made = known.get(key)
+            if made is None:
+                told = (is_residue(x), *besides(x)) if residue else (False, False, 0, 0)
+                made = (code_of(without_name(x.low, name)), *told, entry_of(x) if entry_of else 0, max(1, len(x.words)))
+                if len(x.text) < 120:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[key] = made
+            return made
+
+        for batch in batches:
+            out: list[list] = [[] for _ in _TYPES]
+            for doc_id, text, host, site in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if not text or not text.strip():
                     continue
-                code, residue, message, words, sentences = seen(x, name if name and name[:5] in x.low else "")
-                long += not message and not residue and x.prose
-                if code in lines:
-                    lines[code][1] += words
-                    lines[code][2] += sentences
-                else:
-                    lines[code] = [RESIDUE * residue + MESSAGING * message, words, sentences]
-            bare = long == 0
-            evident = sum(bool(v[0] & RESIDUE) or bare and bool(v[0] & MESSAGING) for v in lines.values())
-            for v in lines.values():
-                if evident - (bool(v[0] & RESIDUE) or bare and bool(v[0] & MESSAGING)) > 0:
-                    v[0] |= EVIDENCED
-            row = (
-                doc_id, site, any(v[0] & RESIDUE for v in lines.values()), long <= 3 and any(v[0] & MESSAGING for v in lines.values()), bare,
-                list(lines), [v[0] for v in lines.values()], [v[1] for v in lines.values()], [v[2] for v in lines.values()],
-            )
-            for column, v in zip(out, row, strict=True):
-                column.append(v)
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
-
-
-def residue_of(kept: DataFrame) -> DataFrame:
-    """``(doc_id)`` of the pages to exclude, from ``(doc_id, text, host, site)``."""
-    rows = cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read, _COLUMNS))
+                name = site_name(host)
+                lines: dict[int, list] = {}
+                long = 0
+                for x in reader.page(text):
+                    if x is None:
+                        continue
+                    code, evident, message, words, sentences, entry, size = seen(x, name if name and name[:5] in x.low else "")
+                    long += not message and not evident and x.prose
+                    own = lines.get(code)
+                    if own is None:
+                        lines[code] = [RESIDUE * evident + MESSAGING * message, words, sentences, entry, size]
+                    else:
+                        own[1] += words
+                        own[2] += sentences
+                        own[4] += size
+                bare = long == 0
+                telling = RESIDUE | MESSAGING if bare else RESIDUE
+                evident = sum(v[0] & telling > 0 for v in lines.values())
+                for v in lines.values() if evident else ():
+                    if evident > (v[0] & telling > 0):
+                        v[0] |= EVIDENCED
+                kinds = [v[0] for v in lines.values()]
+                row = (
+                    doc_id, site, any(k & RESIDUE for k in kinds), long <= 3 and any(k & MESSAGING for k in kinds), bare, list(lines), kinds,
+                    [v[1] for v in lines.values()], [v[2] for v in lines.values()], [v[3] for v in lines.values()], [v[4] for v in lines.values()],
+                )
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
+
+    return run
+
+
+def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line], int] | None = None) -> DataFrame:
+    """A row per page that isn't blank with its different lines and what they show, from ``(doc_id, text, host, site)``."""
+    return cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read(residue, entry_of), _COLUMNS))
+
+
+def residue_of(rows: DataFrame) -> DataFrame:
+    """``(doc_id)`` of the pages to exclude, from the rows of lines_of."""
     line = F.inline(F.arrays_zip("code", "kind", "words", "sentences"))
     pages_of = rows.where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("pages"))
     lines = rows.where("site IS NOT NULL").select("site", "bare", line)
@@ -202,7 +216,7 @@ def residue_pages(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
     NULL, empty and blank pages aren't listed, nor are pages whose whole body only mentions such things. Pages without
     a URL belong to no site, so none of their lines recur.
     """
-    return residue_of(kept_pages(pages, url_mapping))
+    return residue_of(lines_of(kept_pages(pages, url_mapping)))
 
 
 def without_residue(pages: DataFrame, url_mapping: DataFrame) -> DataFrame:
