@@ -21,6 +21,7 @@ from lodestar.llm.boosting import Boosted, train
 from lodestar.llm.lines import Line, Reader, bulleted, language_of, site_name, without_name
 
 TOKENS = 4000
+TRAIN_ROWS = 100_000  # lines that the trees are fitted on, of those of the sample evenly
 MIXED_PRICE = 0.25
 RECURS = 3  # pages of the sample of a site
 FAR_ABOVE, NOT_ABOVE = 3.0, 1.7  # share among the site's pages against the share among all pages
@@ -43,33 +44,6 @@ def form(x: Line) -> int:
     return 2 if n > 3 else 3
 
 
-@dataclass
-class Tree:
-    """Indexes of the non-blank lines of a page, with the region and run of each."""
-
-    at: list[int]
-    region: list[int]
-    run: list[int]
-
-
-def tree_of(lines: list[Line | None]) -> Tree:
-    at, region, run = [], [], []
-    last, r, u, before = -1, -1, -1, -1
-    for i, x in enumerate(lines):
-        if x is None:
-            continue
-        k = form(x)
-        if last < 0 or i > last + 1:
-            r, u = r + 1, u + 1
-        elif k != before:
-            u += 1
-        at.append(i)
-        region.append(r)
-        run.append(u)
-        last, before = i, k
-    return Tree(at, region, run)
-
-
 def tokens_of(x: Line, name: str) -> list[str]:
     """Attribute tokens of a line: its words and signs, the pairs of neighbours, its first token as such; @ is the site's name."""
     t = [("@" if len(w) >= 5 and name.startswith(w) else w) for w in x.shown] if name else list(x.shown)
@@ -78,74 +52,121 @@ def tokens_of(x: Line, name: str) -> list[str]:
     return [*dict.fromkeys(t), *dict.fromkeys(map(" ".join, zip(t, t[1:], strict=False))), "^" + t[0], "$" + t[-1]]
 
 
+@dataclass
+class Batch:
+    """Non-blank lines of several pages: features, and page, index in its page, region and run of each."""
+
+    x: np.ndarray
+    page: np.ndarray
+    at: np.ndarray
+    region: np.ndarray
+    run: np.ndarray
+
+
 class Features:
-    """Rows of numbers for the non-blank lines of pages; ``weights`` are log-odds of tokens, learned from the sample."""
+    """Rows of numbers for the non-blank lines of pages; ``weights`` are log-odds of tokens, learned from the sample.
+
+    What a line shows by itself is worked out once for each short line; what it shows among its relatives is worked out
+    for many pages at once.
+    """
+
+    OWN = 13
 
     def __init__(self, weights: dict[str, float], held: int = 200_000) -> None:
         self.weights = weights
         self.held = held
-        self.own: dict[tuple[str, str], tuple] = {}
+        self.ids: dict[tuple[str, str], int] = {}
+        self.own: list[tuple] = []
+        self.shapes: dict[str, int] = {}
 
-    def _own(self, x: Line, name: str) -> tuple:
+    def _add(self, x: Line, name: str) -> int:
         n = len(x.words)
-        if n >= 25:
-            return (n, len(x.text), x.function_share, x.sentences, x.closed, x.digits, x.parts, 0.0, 0.0, 0.0, 0.0, False, False)
-        key = (x.text, name if name and name[:5] in x.low else "")
-        made = self.own.get(key)
-        if made is None:
-            odds = [self.weights[w] for w in tokens_of(x, key[1]) if w in self.weights]
-            made = (
+        odds = [] if n >= 25 else [self.weights[w] for w in tokens_of(x, name) if w in self.weights]
+        shape = _SHAPE.sub("", x.text[:300])
+        self.own.append(
+            (
                 n, len(x.text), x.function_share, x.sentences, x.closed, x.digits, x.parts,
-                max(odds, default=0.0), min(odds, default=0.0), sum(odds), sum(odds) / len(odds) if odds else 0.0, heading_like(x), bulleted(x.text),
-            )
-            if len(self.own) >= self.held:
-                self.own.clear()
-            self.own[key] = made
-        return made
-
-    def rows(self, lines: list[Line | None], tree: Tree, name: str) -> list[tuple]:
-        at, region, run = tree.at, tree.region, tree.run
-        n = len(at)
-        own = [self._own(lines[i], name) for i in at]
-        total = [o[9] for o in own]
-        prose = [j for j in range(n) if lines[at[j]].prose]
-        first, final = (prose[0], prose[-1]) if prose else (n, -1)
-        some = [j for j in range(n) if own[j][4] and own[j][0] >= 6 and own[j][2] > 0.12 and total[j] < 3]
-        near, far = (some[0], some[-1]) if some else (n, -1)
-        shapes = [_SHAPE.sub("", lines[i].text[:300]) for i in at]
-        alike = Counter(shapes)
-        size, words, odds, ends = defaultdict(int), defaultdict(int), defaultdict(float), defaultdict(int)
-        run_size, run_odds = defaultdict(int), defaultdict(float)
-        for j in range(n):
-            g, u = region[j], run[j]
-            size[g] += 1
-            words[g] += own[j][0]
-            odds[g] += total[j]
-            ends[g] += own[j][4]
-            run_size[u] += 1
-            run_odds[u] += total[j]
-        out = []
-        strong = -1  # the last line whose words tell furniture
-        head = top = 0.0
-        for j in range(n):
-            g, u = region[j], run[j]
-            if j == 0 or region[j - 1] != g:
-                top = total[j]  # how the region begins
-                since = 0
-            up, down = (own[j - 1] if j else None), (own[j + 1] if j + 1 < n else None)
-            out.append(
-                (
-                    *own[j], alike[shapes[j]], len(shapes[j]), j, n - 1 - j, j - first, j - final, j - near, j - far, len(prose), len(some),
-                    size[g], words[g] / size[g], odds[g] / size[g], ends[g] / size[g], run_size[u], run_odds[u] / run_size[u],
-                    top, since, j - strong if strong >= 0 else 99, head,
-                    up[0] if up else 0, up[9] if up else 0.0, up[4] if up else -1, down[0] if down else 0, down[9] if down else 0.0, down[4] if down else -1,
-                    total[j - 2] if j > 1 else 0.0, total[j + 2] if j + 2 < n else 0.0, j > 0 and region[j - 1] != g, j + 1 < n and region[j + 1] != g,
-                )
-            )
-            since += 1
-            if total[j] > 2:
-                strong, head = j, total[j]
-        return out
+                max(odds, default=0.0), min(odds, default=0.0), sum(odds), sum(odds) / len(odds) if odds else 0.0, n < 25 and heading_like(x), n < 25 and bulleted(x.text),
+                self.shapes.setdefault(shape, len(self.shapes)), len(shape), form(x), x.prose,
+            )
+        )
+        return len(self.own) - 1
+
+    def of(self, pages: list[tuple[list[Line | None], str]]) -> Batch:
+        """The lines of pages of (lines, name of the site)."""
+        if len(self.own) > self.held:
+            self.ids.clear(), self.own.clear(), self.shapes.clear()
+        ids: list[int] = []
+        page: list[int] = []
+        at: list[int] = []
+        for p, (lines, name) in enumerate(pages):
+            begins = name[:5]
+            for i, x in enumerate(lines):
+                if x is None:
+                    continue
+                if len(x.words) >= 25:
+                    k = self._add(x, "")
+                else:
+                    key = (x.text, name if begins and begins in x.low else "")
+                    k = self.ids.get(key, -1)
+                    if k < 0:
+                        k = self.ids[key] = self._add(x, key[1])
+                ids.append(k)
+                page.append(p)
+                at.append(i)
+        n = len(ids)
+        if not n:
+            return Batch(np.zeros((0, 1)), *(np.zeros(0, np.int64) for _ in range(4)))
+        known, which = np.unique(np.array(ids), return_inverse=True)
+        own = np.array([self.own[k] for k in known], np.float64)[which]
+        return self._among(own, np.array(page), np.array(at))
+
+    def _among(self, own: np.ndarray, page: np.ndarray, at: np.ndarray) -> Batch:
+        n = len(page)
+        idx = np.arange(n)
+        own, shape, shape_size, kind, prose = own[:, : self.OWN], own[:, 13], own[:, 14], own[:, 15], own[:, 16] > 0
+        words, closed, total = own[:, 0], own[:, 4], own[:, 9]
+        new_page = np.r_[True, page[1:] != page[:-1]]
+        new_region = new_page | np.r_[True, at[1:] > at[:-1] + 1]
+        new_run = new_region | np.r_[True, kind[1:] != kind[:-1]]
+        region, run, number = np.cumsum(new_region) - 1, np.cumsum(new_run) - 1, np.cumsum(new_page) - 1
+        p0, r0, u0 = np.flatnonzero(new_page), np.flatnonzero(new_region), np.flatnonzero(new_run)
+        start = p0[number]
+        size_of_page = np.diff(np.r_[p0, n])[number]
+        j = idx - start
+        some = (closed > 0) & (words >= 6) & (own[:, 2] > 0.12) & (total < 3)
+
+        def ends(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.minimum.reduceat(np.where(flag, j, size_of_page), p0)[number], np.maximum.reduceat(np.where(flag, j, -1), p0)[number]
+
+        def per(values: np.ndarray, starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, starts)[of]
+
+        first, final = ends(prose)
+        near, far = ends(some)
+        ones = np.ones(n)
+        size, run_size = per(ones, r0, region), per(ones, u0, run)
+        strong = np.maximum.accumulate(np.where(total > 2, idx, -1))
+        strong = np.r_[-1, strong[:-1]]
+        there = strong >= start
+        _, same, alike = np.unique(number * (int(shape.max()) + 1) + shape, return_inverse=True, return_counts=True)
+
+        def shifted(values: np.ndarray, by: int, missing: float) -> np.ndarray:
+            moved = idx + by
+            inside = (moved >= 0) & (moved < n)
+            inside[inside] = number[moved[inside]] == number[inside]
+            out = np.full(n, missing)
+            out[inside] = values[moved[inside]]
+            return out
+
+        columns = (
+            alike[same], shape_size, j, size_of_page - 1 - j, j - first, j - final, j - near, j - far, per(prose.astype(float), p0, number), per(some.astype(float), p0, number),
+            size, per(words, r0, region) / size, per(total, r0, region) / size, per(closed, r0, region) / size, run_size, per(total, u0, run) / run_size,
+            total[r0][region], idx - r0[region], np.where(there, idx - strong, 99), np.where(there, total[strong], 0.0),
+            shifted(words, -1, 0.0), shifted(total, -1, 0.0), shifted(closed, -1, -1.0), shifted(words, 1, 0.0), shifted(total, 1, 0.0), shifted(closed, 1, -1.0),
+            shifted(total, -2, 0.0), shifted(total, 2, 0.0), new_region & ~new_page, shifted(new_region.astype(float), 1, 0.0),
+        )
+        return Batch(np.column_stack([own, *columns]), page, at, region, run)
 
 
 def decode(margin: np.ndarray, region: list[int], run: list[int], price: float = MIXED_PRICE) -> np.ndarray:
@@ -178,6 +199,16 @@ def decode(margin: np.ndarray, region: list[int], run: list[int], price: float =
     return np.where(per_line == 0, out, per_line == 1)
 
 
+def furniture_lines(pages: list[tuple[list[Line | None], str]], made: Features, model: Boosted) -> list[list[int]]:
+    """Per page of (lines, name of the site) the indexes of the non-blank lines outside the main body; all pages are scored at once."""
+    batch = made.of(pages)
+    out: list[list[int]] = [[] for _ in pages]
+    found = decode(model.margin(batch.x), batch.region, batch.run)
+    for p, i in zip(batch.page[found].tolist(), batch.at[found].tolist(), strict=True):
+        out[p].append(i)
+    return out
+
+
 def weak_labels(pages: list[tuple[list[Line | None], str, str]]) -> list[dict[int, int]]:
     """Per page of (lines, name, site): furniture (1) or body (0) by the index of the line, as far as recurrence tells.
 
@@ -278,21 +309,19 @@ def fit(sample: list[tuple[str, str | None]]) -> tuple[Boosted, dict[str, float]
     pages = [(reader.page(t), site_name(h), h) for t, h in sample if t and h]
     labelled = [(lines, name, site, label) for (lines, name, site), label in zip(pages, weak_labels(pages), strict=True)]
     half = {s: k % 2 for k, s in enumerate(sorted({p[2] for p in labelled}))}
-    x: list[tuple] = []
+    x: list[np.ndarray] = []
     y: list[int] = []
     for k in (0, 1):
         others = [(lines, name, label) for lines, name, site, label in labelled if half[site] != k]
         made = Features(token_weights(others))
-        for lines, name, site, label in labelled:
-            if half[site] != k:
-                continue
-            for version in ((lines, label), thinned(lines, label, reader, False), thinned(lines, label, reader, True)):
-                if version is None:
-                    continue
-                tree = tree_of(version[0])
-                for i, row in zip(tree.at, made.rows(version[0], tree, name), strict=True):
-                    if i in version[1]:
-                        x.append(row)
-                        y.append(version[1][i])
-    data = np.asarray(x, np.float64) if x else np.zeros((0, 1))
-    return train(data, np.asarray(y, np.float64)), token_weights([(lines, name, label) for lines, name, _, label in labelled])
+        versions = [
+            (version, name) for lines, name, site, label in labelled if half[site] == k
+            for version in ((lines, label), thinned(lines, label, reader, False), thinned(lines, label, reader, True)) if version is not None
+        ]
+        batch = made.of([(lines, name) for (lines, _), name in versions])
+        known = [versions[p][0][1].get(i, -1) for p, i in zip(batch.page.tolist(), batch.at.tolist(), strict=True)]
+        x.append(batch.x[np.array(known, np.int64) >= 0])
+        y.extend(v for v in known if v >= 0)
+    data = np.concatenate([part for part in x if len(part)]) if y else np.zeros((0, 1))
+    step = 1 + len(y) // TRAIN_ROWS
+    return train(data[::step], np.asarray(y, np.float64)[::step]), token_weights([(lines, name, label) for lines, name, _, label in labelled])

@@ -6,19 +6,14 @@ residue and keyword pages have no body; their own operators tell which they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import keyword_pages, residue
-from lodestar.llm.body_model import Boosted, Features, decode, fit, tree_of
-from lodestar.llm.lines import Reader, site_name
+from lodestar.llm.body_model import Boosted, Features, fit, furniture_lines
 from lodestar.llm.pages import kept_pages
 
-SAMPLE_SITES, SITE_PAGES = 96, 24  # the model sees at most this many sites and pages of each
+SAMPLE_SITES, SITE_PAGES = 128, 32  # the model sees at most this many sites and pages of each
 LEAST_PAGES = 8  # of a site in the sample: recurrence tells nothing on smaller ones
 LONGEST_SAMPLED = 100_000  # characters; longer pages aren't drawn into the sample
 
@@ -33,48 +28,24 @@ def _sample(kept: DataFrame, sites: int, pages: int) -> list[tuple[str, str]]:
     return [(r.text, r.host) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def furniture_lines(texts: list[tuple[str, str | None]], reader: Reader, made: Features, model: Boosted) -> list[list[int]]:
-    """Per page of (text, host) the indexes of the non-blank lines outside the main body; all pages are scored at once."""
-    trees, rows, region, run = [], [], [], []
-    for text, host in texts:
-        lines = reader.page(text)
-        tree = tree_of(lines)
-        rows.extend(made.rows(lines, tree, site_name(host)))
-        r, u = (region[-1] + 1, run[-1] + 1) if run else (0, 0)  # no region spans two pages
-        region.extend([r + v for v in tree.region])
-        run.extend([u + v for v in tree.run])
-        trees.append(tree.at)
-    margin = model.margin(np.asarray(rows, np.float32).reshape(len(rows), -1)) if rows else np.zeros(0)
-    kept = decode(margin, region, run).tolist()
-    out, k = [], 0
-    for at in trees:
-        out.append([i for i, f in zip(at, kept[k : k + len(at)], strict=True) if f])
-        k += len(at)
-    return out
-
-
-def _lines(model: Boosted, weights: dict[str, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, made = Reader(), Features(weights)
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                texts = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
-                found = [[i + 1 for i in x] for x in furniture_lines(texts, reader, made, model)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "lines"])
-
-    return run
+def _judge(model: Boosted, weights: dict[str, float]):
+    """Made once in a task: tells the furniture of pages."""
+
+    def start():
+        made = Features(weights)
+        return lambda pages: furniture_lines(pages, made, model)
+
+    return start
 
 
 def _read(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int, site_pages: int) -> tuple[DataFrame, DataFrame]:
-    """The kept pages, and ``(doc_id, lines)`` of those that have a body."""
+    """The kept pages, and ``(doc_id, lines)`` of those that have a body. Lines are read once, for residue, keywords and bodies."""
     kept = kept_pages(pages, url_mapping)
     model, weights = fit(_sample(kept, sites, site_pages))
-    read = residue.lines_of(kept, entry_of=keyword_pages.kind_of)  # one reading for both operators
+    read = residue.lines_of(kept, entry_of=keyword_pages.kind_of, furniture=_judge(model, weights))
     stuffed = keyword_pages.judged(keyword_pages.evidence_of(read, kept, url_mapping, edges)).where("keyword_page").select("doc_id")
     without = residue.residue_of(read).unionByName(stuffed).distinct()
-    good = kept.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "host").join(without, "doc_id", "left_anti")
-    return kept, good.mapInArrow(_lines(model, weights), "doc_id string, lines array<int>")
+    return kept, read.select("doc_id", F.col("furniture").alias("lines")).join(without, "doc_id", "left_anti")
 
 
 def furniture(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int = SAMPLE_SITES, site_pages: int = SITE_PAGES) -> DataFrame:

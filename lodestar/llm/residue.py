@@ -108,16 +108,20 @@ def besides(x: Line) -> tuple[bool, int, int]:
     return message, words, sentences
 
 
-_COLUMNS = "doc_id string, site bigint, residue boolean, message boolean, bare boolean, code array<bigint>, kind array<tinyint>, words array<int>, sentences array<int>, entry array<tinyint>, size array<int>"
-_TYPES = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int32()))
+_COLUMNS = "doc_id string, site bigint, residue boolean, message boolean, bare boolean, code array<bigint>, kind array<tinyint>, words array<int>, sentences array<int>, entry array<tinyint>, size array<int>, furniture array<int>"
+_TYPES = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 RESIDUE, MESSAGING, EVIDENCED = 1, 2, 4  # kinds of lines: evidence, a message, other evidence on the page
 
 
-def _read(residue: bool, entry_of: Callable[[Line], int] | None):
-    """Per page its different lines: code, and as asked for evidence of residue and the kind of entry. What isn't asked for is 0."""
+Furniture = Callable[[list[tuple[list[Line | None], str]]], list[list[int]]]
+
+
+def _read(residue: bool, entry_of: Callable[[Line], int] | None, furniture: Callable[[], Furniture] | None):
+    """Per page its different lines: code, and as asked for evidence of residue and the kind of entry, and which lines are furniture. What isn't asked for is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
+        told_furniture = furniture() if furniture else None
         known: dict[tuple[str, str], tuple] = {}
 
         def seen(x: Line, name: str) -> tuple:
@@ -132,15 +136,17 @@ def _read(residue: bool, entry_of: Callable[[Line], int] | None):
                     known[key] = made
             return made
 
-        for batch in batches:
+        for batch in (part.slice(k, 500) for part in batches for k in range(0, len(part), 500)):
             out: list[list] = [[] for _ in _TYPES]
+            read: list[tuple[list[Line | None], str]] = []
             for doc_id, text, host, site in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if not text or not text.strip():
                     continue
                 name = site_name(host)
+                read.append((reader.page(text), name))
                 lines: dict[int, list] = {}
                 long = 0
-                for x in reader.page(text):
+                for x in read[-1][0]:
                     if x is None:
                         continue
                     code, evident, message, words, sentences, entry, size = seen(x, name if name and name[:5] in x.low else "")
@@ -163,16 +169,17 @@ def _read(residue: bool, entry_of: Callable[[Line], int] | None):
                     doc_id, site, any(k & RESIDUE for k in kinds), long <= 3 and any(k & MESSAGING for k in kinds), bare, list(lines), kinds,
                     [v[1] for v in lines.values()], [v[2] for v in lines.values()], [v[3] for v in lines.values()], [v[4] for v in lines.values()],
                 )
-                for column, v in zip(out, row, strict=True):
+                for column, v in zip(out, row, strict=False):
                     column.append(v)
+            out[-1] = [[i + 1 for i in x] for x in told_furniture(read)] if told_furniture else [None] * len(read)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
     return run
 
 
-def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line], int] | None = None) -> DataFrame:
+def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line], int] | None = None, furniture: Callable[[], Furniture] | None = None) -> DataFrame:
     """A row per page that isn't blank with its different lines and what they show, from ``(doc_id, text, host, site)``."""
-    return cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read(residue, entry_of), _COLUMNS))
+    return cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read(residue, entry_of, furniture), _COLUMNS))
 
 
 def residue_of(rows: DataFrame) -> DataFrame:

@@ -176,9 +176,8 @@ def test_trees_overrule_weak_labels():
     made = body_model.Features(weights)
     known = overruled = unknown = 0
     for (lines, name, _), label in zip(pages, body_model.weak_labels(pages), strict=True):
-        tree = body_model.tree_of(lines)
-        margin = model.margin(np.asarray(made.rows(lines, tree, name)))
-        for i, m in zip(tree.at, margin, strict=True):
+        batch = made.of([(lines, name)])
+        for i, m in zip(batch.at.tolist(), model.margin(batch.x), strict=True):
             known += i in label
             unknown += i not in label
             overruled += i in label and (m > 0) != bool(label[i])
