@@ -20,6 +20,7 @@ from lodestar.functions.text import normalise_url
 from lodestar.session import shuffle_width
 
 FLUSH_AT = 1 << 19
+KEYS_PER_BLOCK = 250_000
 _SLICES = "side string, block int, keys array<string>, counts array<bigint>"
 
 
@@ -85,14 +86,21 @@ def key_counts(df: DataFrame, sides: dict[str, Column], blocks: int | None = Non
     """``(side, key, n)``: how many rows hold ``key`` in the column that ``sides`` names ``side``.
 
     NULL is no key; the empty string is one. Repeated rows count each. An empty table gives no rows. Other columns,
-    whatever their names, aren't read. ``blocks`` bounds what one reducer holds (1/blocks of the different keys).
+    whatever their names, aren't read. ``blocks`` bounds what one reducer holds (1/blocks of the different keys); their
+    number follows an estimate of the different keys.
     """
-    blocks = blocks or 4 * shuffle_width(df.sparkSession)
     named = df.select(*[c.cast("string").alias(s) for s, c in sides.items()])
+    blocks = blocks or blocks_for(named, list(sides))
     slices = named.mapInArrow(_split_counter(list(sides), blocks), _SLICES)
     return slices.groupBy("side", "block").applyInArrow(_sum_block, "side string, key string, n bigint")
 
 
+def blocks_for(named: DataFrame, sides: list[str]) -> int:
+    """Blocks for a table of keys: at least four for each task of a shuffle, and about KEYS_PER_BLOCK different keys in each."""
+    keys = max(named.agg(*[F.approx_count_distinct(s).alias(s) for s in sides]).first())
+    return max(4 * shuffle_width(named.sparkSession), 1 + keys // KEYS_PER_BLOCK)
+
+
 def url_degrees(edges: DataFrame, blocks: int | None = None) -> DataFrame:
     """``(side, url, n_links, n_partners)`` of every URL on either side of a link table, URLs trimmed and in lower case.
 
@@ -100,6 +108,7 @@ def url_degrees(edges: DataFrame, blocks: int | None = None) -> DataFrame:
     URLs on the other side (0 if all are NULL). Pairs are made unique by both ends together, which spreads a hot URL.
     """
     ends = edges.select(normalise_url(F.col("src")).alias("src"), normalise_url(F.col("dst")).alias("dst"))
+    blocks = blocks or blocks_for(ends, ["src", "dst"])
     links = key_counts(ends, {"src": F.col("src"), "dst": F.col("dst")}, blocks)
     pairs = ends.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     partners = key_counts(pairs, {"src": F.col("src"), "dst": F.col("dst")}, blocks)

@@ -47,6 +47,12 @@ class Index:
         """The same index with its tables written to the checkpoint folder, for plans that use them many times."""
         return Index(cut_lineage(self.postings), cut_lineage(self.doc_len), self.n_docs, self.total_len)
 
+    def resident(self) -> Index:
+        """The same index with its tables in the executors' memory, postings by term, for many searches one after another."""
+        postings, doc_len = self.postings.repartition("term").persist(), self.doc_len.persist()
+        postings.count(), doc_len.count()
+        return Index(postings, doc_len, self.n_docs, self.total_len)
+
     def save(self, path: str) -> None:
         """Write postings in ranges of terms, so that a reader skips most files of a term."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
