@@ -187,7 +187,7 @@ WITH RECURSIVE {_ENDS.split("sided")[0].rstrip().rstrip(",")},
 seeds(url) AS (VALUES ('https://www.pridewatch.example/'), ('https://www.pridewatch.example/atlas')),
 pg AS (SELECT lower(url) AS url FROM (SELECT 'page_' || id || '.txt', min({_strip('url')}) AS url FROM url_mapping WHERE id IS NOT NULL AND url IS NOT NULL GROUP BY id) UNION SELECT url FROM seeds),
 l AS (SELECT DISTINCT src, dst FROM ends JOIN pg ON pg.url = src WHERE dst IS NOT NULL),
-walk AS (SELECT url, 0 AS level FROM seeds UNION SELECT dst, level + 1 FROM walk JOIN l ON l.src = walk.url WHERE level < 10)
+walk AS (SELECT url, 0 AS level FROM seeds UNION SELECT dst, level + 1 FROM walk JOIN l ON l.src = walk.url WHERE level < 40)
 SELECT url, min(level) AS level FROM walk GROUP BY url""",
     "p3_found": f"WITH {_ENDS} SELECT side, url FROM sided WHERE url IS NOT NULL GROUP BY side, url HAVING count(*) * 50 >= (SELECT count(*) FROM ends)",
     "p3_degrees": f"WITH {_ENDS} SELECT side, url, count(*) AS n_links, count(DISTINCT other) AS n_partners FROM sided WHERE url IS NOT NULL GROUP BY side, url",
