@@ -59,3 +59,7 @@ SQL["p5_top"] = f"""
 WITH scored AS ({SQL["p5_scores"].replace("), 3) + 0.0 AS llr", "), 6) AS llr")}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY llr DESC, term) AS place FROM scored WHERE df >= 2)
 SELECT doc_id, CAST(place AS INTEGER) AS place, term, round(llr, 3) AS llr FROM placed WHERE place <= 10"""
+SQL["p4_clean"] = f"""
+WITH found AS ({SQL["p4_found"]}), cut AS (SELECT doc_id, list(line_no) AS c FROM found GROUP BY doc_id), pg AS ({_PAGE})
+SELECT pg.doc_id, CASE WHEN c IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(c, i)), chr(10)) END AS text
+FROM pg LEFT JOIN cut ON cut.doc_id = pg.doc_id"""
