@@ -97,8 +97,11 @@ def key_counts(df: DataFrame, sides: dict[str, Column], blocks: int | None = Non
 
 def blocks_for(named: DataFrame, sides: list[str]) -> int:
     """Blocks for a table of keys: at least four for each task of a shuffle, and about KEYS_PER_BLOCK different keys in each."""
+    least = 4 * shuffle_width(named.sparkSession)
+    if named.count() <= least * KEYS_PER_BLOCK:  # there can't be more keys than rows
+        return least
     keys = max(named.agg(*[F.approx_count_distinct(s).alias(s) for s in sides]).first())
-    return max(4 * shuffle_width(named.sparkSession), 1 + keys // KEYS_PER_BLOCK)
+    return max(least, 1 + keys // KEYS_PER_BLOCK)
 
 
 def url_degrees(edges: DataFrame, blocks: int | None = None) -> DataFrame:
