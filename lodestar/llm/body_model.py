@@ -82,7 +82,7 @@ class Features:
     def _add(self, x: Line, name: str) -> int:
         n = len(x.words)
         odds = [] if n >= 25 else [self.weights[w] for w in tokens_of(x, name) if w in self.weights]
-        shape = _SHAPE.sub("", x.text[:300])
+        shape = _SHAPE.sub("", x.text[:150])
         self.own.append(
             (
                 n, len(x.text), x.function_share, x.sentences, x.closed, x.digits, x.parts,

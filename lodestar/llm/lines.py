@@ -22,6 +22,7 @@ FUNCTION_WORDS = frozenset(FUNCTION_LINES.split())
 _LANGUAGES = [frozenset(x.split()) for x in FUNCTION_LINES.strip().split("\n")]
 LINK = re.compile(r"https?://|www\.|\b[a-z0-9][\w-]*\.(?:example|test|com|org|net|info|biz|shop)\b", re.I)
 _DIGITS = re.compile(r"[0-9]+")
+_DIGIT = re.compile(r"[0-9]").search
 _TOKEN = re.compile(r"[^\W\d_]+|0|[^\w\s.,;'’\"]")
 _WORDS = re.compile(r"[^\W\d_]+")
 SHOWN = 200  # characters; longer lines are prose or lists of words, whose tokens aren't attributes
@@ -53,7 +54,8 @@ class Line:
 
 def folded(line: str) -> str:
     """The line without case, outer space, kinds of inner space and values of numbers."""
-    return _DIGITS.sub("0", " ".join(line.split()).casefold())
+    low = " ".join(line.split()).casefold()
+    return _DIGITS.sub("0", low) if _DIGIT(low) else low
 
 
 def code_of(text: str) -> int:

@@ -116,7 +116,7 @@ RESIDUE, MESSAGING, EVIDENCED = 1, 2, 4  # kinds of lines: evidence, a message,
 Furniture = Callable[[list[tuple[list[Line | None], str]]], list[list[int]]]
 
 
-def _read(residue: bool, entry_of: Callable[[Line], int] | None, furniture: Callable[[], Furniture] | None):
+def _read(residue: bool, entry_of: Callable[[Line, bool | None], int] | None, furniture: Callable[[], Furniture] | None):
     """Per page its different lines: code, and as asked for evidence of residue and the kind of entry, and which lines are furniture. What isn't asked for is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _read(residue: bool, entry_of: Callable[[Line], int] | None, furniture: Call
             made = known.get(key)
             if made is None:
                 told = (is_residue(x), *besides(x)) if residue else (False, False, 0, 0)
-                made = (code_of(without_name(x.low, name)), *told, entry_of(x) if entry_of else 0, max(1, len(x.words)))
+                made = (code_of(without_name(x.low, name)), *told, entry_of(x, told[0] if residue else None) if entry_of else 0, max(1, len(x.words)))
                 if len(x.text) < 120:
                     if len(known) > 200_000:
                         known.clear()
@@ -177,7 +177,7 @@ def _read(residue: bool, entry_of: Callable[[Line], int] | None, furniture: Call
     return run
 
 
-def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line], int] | None = None, furniture: Callable[[], Furniture] | None = None) -> DataFrame:
+def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line, bool | None], int] | None = None, furniture: Callable[[], Furniture] | None = None) -> DataFrame:
     """A row per page that isn't blank with its different lines and what they show, from ``(doc_id, text, host, site)``."""
     return cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read(residue, entry_of, furniture), _COLUMNS))
 
