@@ -45,19 +45,30 @@ def ranks(rows: DataFrame, groups: list[str], value: str, descending: bool = Tru
     return join_by_weight(rows, ranked, [*groups, value], "_n").drop("_n")
 
 
+def beta_tail(x: Column, k: int, m: int, upper: bool = False) -> Column:
+    """P(Beta(k, m-k+1) <= x): the chance that the k-th of m normalised ranks is x or better; ``upper`` gives the rest to 1."""
+    terms = [F.lit(float(comb(m, j))) * F.pow(x, F.lit(j)) * F.pow(1 - x, F.lit(m - j)) for j in (range(k) if upper else range(k, m + 1))]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
 def beta_minimum(sorted_ranks: Column, m: int) -> Column:
     """The corrected least tail probability of m sorted normalised ranks: min over k of P(Beta(k, m-k+1) <= r_k), times m."""
+    tails = [beta_tail(sorted_ranks[k - 1], k, m) for k in range(1, m + 1)]
+    return F.least(F.lit(1.0), m * (F.least(*tails) if m > 1 else tails[0]))
 
-    def tail(k: int) -> Column:
-        x = sorted_ranks[k - 1]
-        terms = [F.lit(float(comb(m, j))) * F.pow(x, F.lit(j)) * F.pow(1 - x, F.lit(m - j)) for j in range(k, m + 1)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
 
-    tails = [tail(k) for k in range(1, m + 1)]
-    return F.least(F.lit(1.0), m * (F.least(*tails) if m > 1 else tails[0]))
+def as_unlikely(rank: Column, n_hits: Column, top: int, k: int, m: int) -> Column:
+    """Whether a k-th normalised rank of m is no likelier under chance than that of place ``top`` among ``n_hits``.
+
+    The tail is compared with the one halfway to the next place, and on the side where it is small, so rounding decides
+    nothing.
+    """
+    bound = F.least(F.lit(1.0), F.lit(top + 0.5) / n_hits)
+    low = beta_tail(rank, k, m) <= beta_tail(bound, k, m)
+    return F.when(bound <= 0.5, low).otherwise(beta_tail(rank, k, m, upper=True) >= beta_tail(bound, k, m, upper=True))
 
 
 def _ranked(hits: DataFrame, scores: tuple[str, ...]) -> DataFrame:
@@ -104,9 +115,10 @@ def best_fused(hits: DataFrame, top: int = 10, scores: tuple[str, ...] = SCORES)
 def agreed_best(hits: DataFrame, top: int = 3, agree: int = 3, min_hits: int = 10, scores: tuple[str, ...] = SCORES) -> DataFrame:
     """``(query_id, url)``: hits within the best ``top`` of at least ``agree`` scores, of queries with ``min_hits`` hits or more.
 
-    That is a bound on an order statistic: the normalised rank at ``agree`` in order is at most top / n_hits.
+    They are told by the beta tail of the order statistic ``agree``, which grows with that rank alone. The minimum over
+    all order statistics would give others: of ten hits, one with the ranks 1, 1, 10, 10 has a lesser rho than 3, 3, 3, 10.
     """
-    good = F.round(F.element_at("_r", agree) * F.col("n_hits")) <= top
+    good = as_unlikely(F.element_at("_r", agree), F.col("n_hits"), top, agree, len(scores))
     # a score the hit has no value in has the normalised rank 1, which is the last and not among the best
     known = sum((F.col(f"rank_{s}").isNotNull().cast("int") for s in scores), F.lit(0)) >= agree
     return _ranked(hits, scores).where((F.col("n_hits") >= min_hits) & good & known).select("query_id", "url").distinct()

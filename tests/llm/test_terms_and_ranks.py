@@ -124,3 +124,24 @@ def test_agreed_best(spark):
     want = {(h[0], h[1]) for h, (n, own, *_) in _brute(rows).items() if n >= 10 and sum(x is not None and x <= 3 for x in own) >= 3}
     assert {tuple(r) for r in rank_fusion.agreed_best(spark.createDataFrame(rows, HITS)).collect()} == want
     assert rank_fusion.agreed_best(spark.createDataFrame([], HITS)).count() == 0
+
+
+def test_agreed_best_goes_by_the_beta_tail(spark, monkeypatch):
+    rows, tail = _rows(), rank_fusion.beta_tail
+    brute = {h: (n, sorted(x for x in own if x is not None)) for h, (n, own, *_) in _brute(rows).items()}
+    hits = spark.createDataFrame(rows, HITS)
+    for top, agree in ((3, 2), (12, 3), (60, 4)):  # more than half of the hits, and more than all
+        want = {(h[0], h[1]) for h, (n, own) in brute.items() if n >= 10 and len(own) >= agree and own[agree - 1] <= top}
+        assert {tuple(r) for r in rank_fusion.agreed_best(hits, top, agree).collect()} == want
+    # turned around, the tail gives the other hits
+    monkeypatch.setattr(rank_fusion, "beta_tail", lambda *a, **k: -tail(*a, **k))
+    want = {(h[0], h[1]) for h, (n, own) in brute.items() if n >= 10 and len(own) >= 3 and own[2] > 3}
+    assert {tuple(r) for r in rank_fusion.agreed_best(hits).collect()} == want
+
+
+def test_neighbouring_places_of_many_hits(spark):
+    n = 10**9
+    for top in (3, n // 2 - 1, n // 2, n - 2):
+        row = spark.sql(f"SELECT {top} / {n} AS a, {top + 1} / {n} AS b, {n} AS n")
+        got = row.select(*[rank_fusion.as_unlikely(row[x], row["n"], top, 3, 4).alias(x) for x in "ab"]).first()
+        assert (got.a, got.b) == (True, False)
