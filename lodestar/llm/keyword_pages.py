@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import normalise_url
@@ -25,20 +25,20 @@ from lodestar.llm.lines import FUNCTION_WORDS, LINK, Line, code_of
 from lodestar.llm.pages import kept_pages, sites
 from lodestar.llm.residue import LEAST_PAGES, MESSAGE, SHARE_OF, is_residue, lines_of
 from lodestar.operators.heavy_keys import key_counts
-from lodestar.session import cut_lineage, join_by_weight
+from lodestar.session import cut_lineage, join_by_weight, written
 
 PRODUCT = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|add to cart|in stock|\bSKU\b|★|buy now|in den warenkorb|añadir al carrito|ajouter au panier", re.I)
 TAG = re.compile(r"#[\w-]{3,}|\b[a-z]{3,}[-_][a-z]{3,}\b", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 SHINGLE = 5
-HOSTS = 3
+HOSTS = 3  # replication settles this number by the least, the greatest and one between
 DENSE, LINKED = 0.55, 0.45  # share of own words in entries; with LINKS links, and a sixth of the words as many, the lesser will do
 LINKS = 10
 ENTRY_WORDS = 8  # fewer aren't a list
 REPLICATED = 0.3  # share of a strung or stuffed page's shingles that other hosts have
 PHRASE = 0.25  # share of a line's words in its commonest pair
 BARE, STRUNG, STUFFED, PLAIN = 1, 2, 3, 0
-FLUSH_AT = 1 << 19
+BLOCK = 1 << 21  # shingles of a block of pages, about
 
 
 def kind_of(x: Line, residue: bool | None = None) -> int:
@@ -133,52 +133,108 @@ class Shingler:
         return made[at].view(np.int64), np.searchsorted(np.array(ends), at, side="right")
 
 
-def _site_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task each shingle with up to HOSTS of its sites; a shingle that HOSTS sites have needs no further one."""
+_PACKED = "block bigint, doc_id string, total int, known int, open array<int>, shingle bigint, place int, low bigint, high bigint"
+_PACKED_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+
+
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _PACKED.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, _PACKED_TYPES, strict=True)], names=names)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
+def _block(ids: list[str], site: np.ndarray, sited: np.ndarray, shingle: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of one block of pages; ``at`` has the page of each shingle, ``sited`` which pages have a site."""
+    block = code_of(ids[0])
+    made, first, which = np.unique(shingle, return_index=True, return_inverse=True)
+    of_site, local = np.unique(site, return_inverse=True)
+    with_site = sited[at]
+    pairs = np.unique(which[with_site] * len(of_site) + local[at[with_site]])
+    holder, held = pairs // len(of_site), of_site[pairs % len(of_site)]
+    full = np.bincount(holder, minlength=len(made)) >= HOSTS
+    # what isn't settled here is numbered as it comes, so that steps between the numbers are mostly 1
+    unsettled = np.flatnonzero(~full)
+    unsettled = unsettled[np.argsort(first[unsettled])]
+    place = np.zeros(len(made), np.int32)
+    place[unsettled] = np.arange(len(unsettled))
+    left = ~full[which]
+    number, page = place[which[left]], at[left]
+    steps = np.diff(number, prepend=np.int32(0))
+    starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]]) if len(page) else page
+    steps[starts] = number[starts]
+    n = len(ids)
+    total, opened = np.bincount(at, minlength=n), np.bincount(page, minlength=n)
+    yield _rows(
+        n, block=pa.array(np.full(n, block)), doc_id=pa.array(ids, pa.string()), total=pa.array(total.astype(np.int32)),
+        known=pa.array((total - opened).astype(np.int32)), open=_lists(steps, opened),
+    )
+    settled = np.flatnonzero(full)
+    for k in range(0, len(settled), 100_000):
+        part = settled[k : k + 100_000]
+        yield _rows(len(part), shingle=pa.array(made[part]))
+    # of at most two sites, the least and the greatest; pairs come in the order of shingles and sites
+    others = np.flatnonzero(~full)
+    low, high = np.searchsorted(holder, others, side="left"), np.searchsorted(holder, others, side="right")
+    none = low == high
+    held = np.r_[held, 0]
+    low, high = held[np.where(none, len(held) - 1, low)], held[np.where(none, len(held) - 1, high - 1)]
+    for k in range(0, len(others), 100_000):
+        part, lack = others[k : k + 100_000], none[k : k + 100_000]
+        yield _rows(
+            len(part), block=pa.array(np.full(len(part), block)), shingle=pa.array(made[part]), place=pa.array(place[part]),
+            low=pa.array(low[k : k + 100_000], mask=lack), high=pa.array(high[k : k + 100_000], mask=lack),
+        )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages: a row per page and a row per different shingle of the block.
+
+    A shingle that HOSTS sites of the block have is settled there and comes without a place; of the others each has its
+    place in the block and its sites, two at most, and each page the places of its occurrences, as steps from one to the
+    next.
+    """
     shingler = Shingler()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple] = []
     size = 0
 
-    def unique() -> tuple[np.ndarray, np.ndarray]:
-        shingle, site = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        order = np.lexsort((site, shingle))
-        shingle, site = shingle[order], site[order]
-        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (site[1:] != site[:-1])] if len(shingle) else np.zeros(0, bool)
-        shingle, site = shingle[new], site[new]
-        place = np.arange(len(shingle)) - np.searchsorted(shingle, shingle, side="left")
-        few = place < HOSTS
-        return shingle[few], site[few]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        shingle, site = unique()
-        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else np.zeros(0, np.int64)
-        offsets = np.r_[starts, len(shingle)].astype(np.int32) if len(shingle) else np.zeros(1, np.int32)
-        made = pa.record_batch([pa.array(shingle[starts]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(site))], names=["shingle", "sites"])
-        for k in range(0, len(made), 100_000):
-            yield made.slice(k, 100_000)
-
-    for batch in batches:
-        texts, own = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        shingle, at = shingler.of(texts)
-        held.append((shingle, own[at]))
-        size += len(shingle)
-        if size > FLUSH_AT * 4:
-            held = [unique()]
-            size = len(held[0][0])
-            if size > FLUSH_AT:
-                yield from flush()
-                held, size = [], 0
-    if held:
-        yield from flush()
+    def closed() -> Iterator[pa.RecordBatch]:
+        ids, site, sited, shingle, at = zip(*held, strict=True)
+        before = np.cumsum([0, *map(len, ids)])
+        yield from _block(sum(ids, []), np.concatenate(site), np.concatenate(sited), np.concatenate(shingle), np.concatenate([a + b for a, b in zip(at, before, strict=False)]))
 
-
-def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch in batches:
-        ids = batch.column(0)
+    for batch in (part.slice(k, 1000) for part in batches for k in range(0, len(part), 1000)):
         shingle, at = shingler.of(batch.column(1).to_pylist())
-        made = pa.record_batch([ids.take(pa.array(at)), pa.array(shingle)], names=["doc_id", "shingle"])
-        yield made
+        site = batch.column(2)
+        held.append((batch.column(0).to_pylist(), site.fill_null(0).to_numpy(), site.is_valid().to_numpy(zero_copy_only=False), shingle, at))
+        size += len(shingle)
+        if size > BLOCK:
+            yield from closed()
+            held, size = [], 0
+    if held:
+        yield from closed()
+
+
+def _shares(pages: pa.Table, shared: pa.Table) -> pa.Table:
+    """``(doc_id, replicated)`` of one block, from its pages and the places of its shingles that proved to be shared."""
+    places = shared.column("place").to_numpy()
+    opened = pages.column("open").combine_chunks()
+    sizes = opened.value_lengths().to_numpy(zero_copy_only=False)
+    steps = opened.flatten().to_numpy()
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # numbers run on within a page and start anew with the next
+    number = np.cumsum(steps, dtype=np.int64)
+    offset = np.r_[0, number][starts]
+    number -= np.repeat(offset, sizes)
+    is_shared = np.zeros(max(number.max(initial=-1), places.max(initial=-1)) + 1, bool)
+    is_shared[places] = True
+    found = np.r_[0, np.cumsum(is_shared[number])]
+    total = pages.column("total").to_numpy()
+    share = (pages.column("known").to_numpy() + found[ends] - found[starts]) / np.maximum(total, 1)
+    return pa.table({"doc_id": pages.column("doc_id"), "replicated": pa.array(share)})
 
 
 def page_links(edges: DataFrame, url_mapping: DataFrame) -> DataFrame:
@@ -188,10 +244,22 @@ def page_links(edges: DataFrame, url_mapping: DataFrame) -> DataFrame:
     return named.join(out, "_url").select("doc_id", F.col("n").alias("links"))
 
 
-def shared_shingles(kept: DataFrame) -> DataFrame:
-    """``(shingle)``: those that stand on HOSTS hosts or more; pages without a host count for none."""
-    found = kept.where("text IS NOT NULL AND site IS NOT NULL").select("text", "site").mapInArrow(_site_shingles, "shingle bigint, sites array<bigint>")
-    return found.groupBy("shingle").agg(F.size(F.array_distinct(F.flatten(F.collect_list("sites")))).alias("n")).where(F.col("n") >= HOSTS).select("shingle")
+def replication(kept: DataFrame) -> DataFrame:
+    """``(doc_id, replicated)`` of every page with a text: the share of its shingles that stand on HOSTS hosts or more, 0 if it has none.
+
+    Pages without a host count for none, but have their share. Texts are read once; pages stay packed by blocks, and the
+    different shingles of each block, not those of its pages, meet their hosts.
+    """
+    rows = written(kept.where("text IS NOT NULL").select("doc_id", "text", "site").mapInArrow(_packed, _PACKED))
+    # three sites differ if one lies between the least and the greatest
+    all_of = Window.partitionBy("shingle")
+    met = rows.where("shingle IS NOT NULL").select("block", "shingle", "place", "low", "high")
+    met = met.withColumns({"_least": F.min("low").over(all_of), "_most": F.max("high").over(all_of)})
+    between = ((F.col("low") > F.col("_least")) & (F.col("low") < F.col("_most"))) | ((F.col("high") > F.col("_least")) & (F.col("high") < F.col("_most")))
+    met = met.withColumn("_shared", F.max(F.col("place").isNull() | F.coalesce(between, F.lit(False))).over(all_of))
+    shared = met.where("_shared AND place IS NOT NULL").select("block", "place")
+    pages = rows.where("doc_id IS NOT NULL").select("block", "doc_id", "total", "known", "open")
+    return pages.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_shares, "doc_id string, replicated double")
 
 
 def evidence_of(rows: DataFrame, kept: DataFrame, url_mapping: DataFrame, edges: DataFrame) -> DataFrame:
@@ -208,14 +276,7 @@ def evidence_of(rows: DataFrame, kept: DataFrame, url_mapping: DataFrame, edges:
     part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("words")).otherwise(0))
     pages = own.groupBy("doc_id").agg(F.sum("words").alias("words"), part(BARE).alias("bare"), part(STRUNG).alias("strung"), part(STUFFED).alias("stuffed"))
     pages = cut_lineage(pages)
-    # replication matters for pages on which strung or stuffed lines could tip the scales
-    doubtful = pages.where((F.col("strung") + F.col("stuffed") > 0) & (F.col("bare") + F.col("strung") + F.col("stuffed") >= LINKED * F.col("words"))).select("doc_id")
-    texts = kept.where("text IS NOT NULL").select("doc_id", "text").join(doubtful, "doc_id", "left_semi")
-    shingles = cut_lineage(texts.mapInArrow(_own_shingles, "doc_id string, shingle bigint"))
-    replicated = (
-        shingles.join(shared_shingles(kept).withColumn("shared", F.lit(1)), "shingle", "left").groupBy("doc_id").agg(F.avg(F.coalesce("shared", F.lit(0))).alias("replicated"))
-    )
-    joined = pages.join(replicated, "doc_id", "left").join(page_links(edges, url_mapping), "doc_id", "left")
+    joined = pages.join(replication(kept), "doc_id", "left").join(page_links(edges, url_mapping), "doc_id", "left")
     return joined.withColumn("replicated", F.coalesce("replicated", F.lit(0.0))).withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
 
 
@@ -230,8 +291,8 @@ def keyword_evidence(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame)
     """``(doc_id, words, bare, strung, stuffed, replicated, links, keyword_page)`` of pages with any such entries.
 
     ``words`` counts the words of lines that don't recur on the host, ``bare``, ``strung`` and ``stuffed`` those in such
-    lines; ``replicated`` is the share of the page's shingles that stand on HOSTS hosts or more (0 where it couldn't
-    matter), ``links`` the page's links in the link table. NULL and blank pages are missing; a page without a host has
+    lines; ``replicated`` is the share of the page's shingles that stand on HOSTS hosts or more (0 if it has
+    none), ``links`` the page's links in the link table. NULL and blank pages are missing; a page without a host has
     no recurrent lines.
     """
     kept = kept_pages(pages, url_mapping)

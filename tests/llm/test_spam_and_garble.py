@@ -59,6 +59,34 @@ def test_pages_without_a_host_are_no_site(spark):
     assert keyword_pages.keyword_pages(*_tables(spark, rows)).count() == 0
 
 
+def test_every_page_has_its_replication(spark, monkeypatch):
+    """Bare lists and pages of prose too, whether a block settles a shingle, several do, or a page has no host."""
+    share = "\n".join([PROSE, "owl mask, fox pin, elk toy, owl shirt, bear mug"])
+    listed = "\n".join(["owl mask, fox pin, elk toy, owl shirt, bear mug", "heron cup, crane hat, stork bag, egret tie, ibis sock"])
+    texts = [share, listed, share + "\nOnly this page ends with a line of its own here.", "owl toy", "", TITLES, *SPAM, *HAM]
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26) + "en"
+    rows = [(f"page_{i}.txt", texts[i * 7 % len(texts)], None if i % 9 == 4 else f"http://s{i % 11}.test/") for i in range(70)]
+    rows = [(d, t + f"\nThe ranger {name(i)} wrote the day down and then {name(i // 4)} went home." * (i % 3), u) for i, (d, t, u) in enumerate(rows)]
+    at = {d: set(keyword_pages.Shingler().of([t])[0].tolist()) for d, t, _ in rows}
+    hosts = {}
+    for d, _, u in rows:
+        for x in at[d] if u else ():
+            hosts.setdefault(x, set()).add(u)
+    want = {}
+    for d, t, _ in rows:
+        own = keyword_pages.Shingler().of([t])[0].tolist()
+        want[d] = sum(len(hosts.get(x, ())) >= keyword_pages.HOSTS for x in own) / max(1, len(own))
+    assert {0.0, 1.0} < set(want.values())
+    tables = _tables(spark, rows)
+    for block in (keyword_pages.BLOCK, 1):  # one block a task, and one a batch
+        monkeypatch.setattr(keyword_pages, "BLOCK", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        got = {r.doc_id: r.replicated for r in keyword_pages.keyword_evidence(*tables).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got and got == pytest.approx({d: want[d] for d in got})
+        assert {d for d, t, _ in rows if t.startswith((share, listed))} <= set(got)
+
+
 def test_shingles_of_lines():
     shingle, at = keyword_pages.Shingler(3).of(["a b c d\na b", "", "x\nA b, c!"])
     assert at.tolist() == [0, 0, 2] and shingle[0] == shingle[2] != shingle[1]
