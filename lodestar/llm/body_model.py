@@ -27,6 +27,7 @@ RECURS = 3  # pages of the sample of a site
 FAR_ABOVE, NOT_ABOVE = 3.0, 1.7  # share among the site's pages against the share among all pages
 
 _SHAPE = re.compile(r"[\w\s’'\"“”]+")  # what is left is the punctuation that siblings of one list share
+_SHAPELESS = {c: None for c in range(128) if _SHAPE.fullmatch(chr(c))}
 SIBLINGS = 3  # lines of one form after the prose make a list of the body
 
 
@@ -75,14 +76,15 @@ class Features:
     def __init__(self, weights: dict[str, float], held: int = 200_000) -> None:
         self.weights = weights
         self.held = held
-        self.ids: dict[tuple[str, str], int] = {}
+        self.ids: dict[str | tuple[str, str], int] = {}
         self.own: list[tuple] = []
         self.shapes: dict[str, int] = {}
 
     def _add(self, x: Line, name: str) -> int:
         n = len(x.words)
         odds = [] if n >= 25 else [self.weights[w] for w in tokens_of(x, name) if w in self.weights]
-        shape = _SHAPE.sub("", x.text[:150])
+        begin = x.text[:150]
+        shape = begin.translate(_SHAPELESS) if begin.isascii() else _SHAPE.sub("", begin)
         self.own.append(
             (
                 n, len(x.text), x.function_share, x.sentences, x.closed, x.digits, x.parts,
@@ -107,10 +109,11 @@ class Features:
                 if len(x.words) >= 25:
                     k = self._add(x, "")
                 else:
-                    key = (x.text, name if begins and begins in x.low else "")
+                    named = begins and begins in x.low
+                    key = (x.text, name) if named else x.text
                     k = self.ids.get(key, -1)
                     if k < 0:
-                        k = self.ids[key] = self._add(x, key[1])
+                        k = self.ids[key] = self._add(x, name if named else "")
                 ids.append(k)
                 page.append(p)
                 at.append(i)

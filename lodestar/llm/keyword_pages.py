@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import normalise_url
-from lodestar.llm.lines import FUNCTION_WORDS, LINK, Line, code_of
+from lodestar.llm.lines import FUNCTION_WORDS, LINK, Letters, Line, code_of
 from lodestar.llm.pages import kept_pages, sites
-from lodestar.llm.residue import LEAST_PAGES, MESSAGE, SHARE_OF, is_residue, lines_of
+from lodestar.llm.residue import has_message, is_residue, lines_of, recurrent
 from lodestar.operators.heavy_keys import key_counts
 from lodestar.session import cut_lineage, join_by_weight, written
 
 PRODUCT = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|add to cart|in stock|\bSKU\b|★|buy now|in den warenkorb|añadir al carrito|ajouter au panier", re.I)
 TAG = re.compile(r"#[\w-]{3,}|\b[a-z]{3,}[-_][a-z]{3,}\b", re.I)
-_WORDS = re.compile(r"[^\W\d_]+")
 SHINGLE = 5
 HOSTS = 3  # replication settles this number by the least, the greatest and one between
 DENSE, LINKED = 0.55, 0.45  # share of own words in entries; with LINKS links, and a sixth of the words as many, the lesser will do
@@ -50,7 +49,7 @@ def kind_of(x: Line, residue: bool | None = None) -> int:
         return PLAIN
     if n == 0:
         return BARE if LINK.search(x.text) else PLAIN
-    if n <= 12 and MESSAGE.search(x.low):
+    if n <= 12 and has_message(x):
         return PLAIN
     if x.function_share < 0.04 and not (n < 4 and x.digits):
         return BARE
@@ -92,31 +91,37 @@ def slotted(words: list[str]) -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of words by a hash, 0 for none; at most ``held`` are kept."""
+
+    held = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.held:
+            self.clear()
+        made = self[word] = code_of(word) & (1 << 64) - 1 or 1
+        return made
+
+
 class Shingler:
     """Numbers of all shingles of texts, line by line; a word gets a number by a hash, the refrain of a line is a slot."""
 
     def __init__(self, size: int = SHINGLE) -> None:
         self.size = size
-        self.known: dict[str, int] = {}
+        self.letters = Letters()
+        self.known = _Numbers()
         self.factors = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(size)]
 
-    def _number(self, word: str) -> int:
-        made = code_of(word) & (1 << 64) - 1 or 1
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.known[word] = made
-        return made
-
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The shingles of all texts in order, and the index of the text of each; repeated ones stay."""
         flat: list[int] = []
         ends: list[int] = []
-        known = self.known
+        number = self.known.__getitem__
         for text in texts:
-            for line in text.lower().split("\n"):
-                words = slotted(_WORDS.findall(line))
+            for line in self.letters.spaced(text.lower()).split("\n"):
+                words = line.split()
                 if len(words) >= self.size:
-                    flat.extend([known[w] if w in known else self._number(w) for w in words])
+                    flat.extend(map(number, slotted(words)))
                     flat.append(0)
             ends.append(len(flat))
         h = np.array(flat, np.uint64)
@@ -146,13 +151,25 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, where each first stands, and of all values which they are; np.unique sorts stably, which takes longer."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(values)]
+    starts = np.flatnonzero(new)
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[starts], np.minimum.reduceat(order, starts) if len(values) else order, which
+
+
 def _block(ids: list[str], site: np.ndarray, sited: np.ndarray, shingle: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of one block of pages; ``at`` has the page of each shingle, ``sited`` which pages have a site."""
     block = code_of(ids[0])
-    made, first, which = np.unique(shingle, return_index=True, return_inverse=True)
+    made, first, which = _distinct(shingle)
     of_site, local = np.unique(site, return_inverse=True)
     with_site = sited[at]
-    pairs = np.unique(which[with_site] * len(of_site) + local[at[with_site]])
+    pairs = np.sort(which[with_site] * len(of_site) + local[at[with_site]])
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]]  # np.unique hashes them first, which takes longer
     holder, held = pairs // len(of_site), of_site[pairs % len(of_site)]
     full = np.bincount(holder, minlength=len(made)) >= HOSTS
     # what isn't settled here is numbered as it comes, so that steps between the numbers are mostly 1
@@ -262,17 +279,19 @@ def replication(kept: DataFrame) -> DataFrame:
     return pages.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_shares, "doc_id string, replicated double")
 
 
-def evidence_of(rows: DataFrame, kept: DataFrame, url_mapping: DataFrame, edges: DataFrame) -> DataFrame:
-    """The evidence from the rows of residue.lines_of, with entries, and ``(doc_id, text, host, site)``; see keyword_evidence."""
+def evidence_of(rows: DataFrame, kept: DataFrame, url_mapping: DataFrame, edges: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """The evidence from the rows of residue.lines_of, with entries, and ``(doc_id, text, host, site)``; see keyword_evidence.
+
+    Which lines recur is worked out unless ``sized`` tells, which is residue.recurrent of the rows.
+    """
     rows = rows.select("doc_id", "site", "code", F.col("entry").alias("kind"), F.col("size").alias("words"))
     line = F.inline(F.arrays_zip("code", "kind", "words"))
-    pages_of = rows.where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("pages"))
-    counted = rows.where("site IS NOT NULL").select("site", F.explode("code").alias("code")).groupBy("site", "code").agg(F.count("*").alias("n"))
-    recurrent = counted.join(pages_of, "site").where((F.col("n") >= LEAST_PAGES) & (F.col("n") * SHARE_OF >= F.col("pages"))).select("site", "code", "n", F.lit(True).alias("recurs"))
+    if sized is None:
+        sized = recurrent(rows, rows.where("site IS NOT NULL").select("site", F.explode("code").alias("code")).groupBy("site", "code").agg(F.count("*").alias("n")))
     # only pages with some entries can be found, whatever else is subtracted
     listing = F.aggregate(F.zip_with("kind", "words", lambda k, w: F.when(k > 0, w).otherwise(0)), F.lit(0), lambda a, b: a + b)
     some = rows.where(listing > 0).select("doc_id", "site", line)
-    own = join_by_weight(cut_lineage(some), cut_lineage(recurrent), ["site", "code"], "n", how="left").where("recurs IS NULL")
+    own = join_by_weight(cut_lineage(some), sized, ["site", "code"], "n", how="left").where("recurs IS NULL")
     part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("words")).otherwise(0))
     pages = own.groupBy("doc_id").agg(F.sum("words").alias("words"), part(BARE).alias("bare"), part(STRUNG).alias("strung"), part(STUFFED).alias("stuffed"))
     pages = cut_lineage(pages)

@@ -6,9 +6,12 @@ Everything here works on one page in plain Python. What lines say is learned els
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
+
 # Frequent function words of the languages of the crawl, a line for each.
 FUNCTION_LINES = """
 the of and a an in to for with at by from on as it its was is are were or that this we you your our not no be has have had but if which then after before when where who into near over their they he she his her all can until once so than more there only some
@@ -46,6 +49,7 @@ class Line:
     digits: int
     parts: int  # entries between separators
     shown: tuple[str, ...]  # words, signs and 0 for numbers, as attribute tokens
+    hinted: bool | None = None  # whether residue.MESSAGE may match; None if that wasn't asked
 
     @property
     def prose(self) -> bool:
@@ -81,14 +85,34 @@ def _may_part(text: str) -> bool:
     return "|" in text or "   " in text or " · " in text or " / " in text or "»" in text or "›" in text or " > " in text or " - " in text
 
 
-def read_line(raw: str) -> Line | None:
+class Letters:
+    """Cuts texts into their runs of letters, as _WORDS does, by a table of all characters of two bytes."""
+
+    def __init__(self) -> None:
+        self.table = np.full(1 << 16, ord(" "), "<u2")
+        for run in _WORDS.finditer("".join(map(chr, range(1 << 16)))):
+            self.table[run.start() : run.end()] = np.arange(run.start(), run.end())
+        self.table[ord("\n")] = ord("\n")
+
+    def spaced(self, text: str) -> str:
+        """The text with blanks in place of what is neither a letter nor a line end."""
+        raw = text.encode("utf-16-le", "surrogatepass")
+        if len(raw) != 2 * len(text):  # some character takes four bytes
+            return "\n".join([" ".join(_WORDS.findall(x)) for x in text.split("\n")])
+        return self.table[np.frombuffer(raw, "<u2")].tobytes().decode("utf-16-le")
+
+    def words(self, text: str) -> list[str]:
+        return self.spaced(text).split()
+
+
+def read_line(raw: str, words_of: Callable[[str], list[str]] = _WORDS.findall) -> Line | None:
     """None for a blank line."""
     text = raw.strip()
     if not text:
         return None
     low = folded(text)
     shown = tuple(_TOKEN.findall(low)) if len(text) < SHOWN else ()
-    words = [w for w in shown if w.isalpha()] if shown else _WORDS.findall(low)
+    words = [w for w in shown if w.isalpha()] if shown else words_of(low)
     n = len(words)
     share = sum(map(FUNCTION_WORDS.__contains__, words)) / n if n else 0.0
     closed = text[-1] in ".!?…。" or text[-1] in "\"”’»)" and bool(_END.search(text))
@@ -96,17 +120,21 @@ def read_line(raw: str) -> Line | None:
 
 
 class Reader:
-    """Reads lines; keeps what it knows of short lines it has met (at most ``held``)."""
+    """Reads lines; keeps what it knows of short lines it has met (at most ``held``). ``made``, if given, gets each line when it is read anew."""
 
-    def __init__(self, held: int = 200_000) -> None:
+    def __init__(self, held: int = 200_000, made: list[Line] | None = None) -> None:
         self.held = held
+        self.made = made
         self.known: dict[str, Line | None] = {}
+        self.words_of = Letters().words
 
     def line(self, raw: str) -> Line | None:
         try:
             return self.known[raw]
         except KeyError:
-            made = read_line(raw)
+            made = read_line(raw, self.words_of)
+            if self.made is not None and made is not None:
+                self.made.append(made)
             if len(raw) < 120:
                 if len(self.known) >= self.held:
                     self.known.clear()

@@ -43,8 +43,10 @@ def _read(pages: DataFrame, url_mapping: DataFrame, edges: DataFrame, sites: int
     kept = kept_pages(pages, url_mapping)
     model, weights = fit(_sample(kept, sites, site_pages))
     read = residue.lines_of(kept, entry_of=keyword_pages.kind_of, furniture=_judge(model, weights))
-    stuffed = keyword_pages.judged(keyword_pages.evidence_of(read, kept, url_mapping, edges)).where("keyword_page").select("doc_id")
-    without = residue.residue_of(read).unionByName(stuffed).distinct()
+    counted = residue.site_counts(read)
+    sized = residue.recurrent(read, counted)
+    stuffed = keyword_pages.judged(keyword_pages.evidence_of(read, kept, url_mapping, edges, sized)).where("keyword_page").select("doc_id")
+    without = residue.residue_of(read, counted, sized).unionByName(stuffed).distinct()
     return kept, read.select("doc_id", F.col("furniture").alias("lines")).join(without, "doc_id", "left_anti")
 
 

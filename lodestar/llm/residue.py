@@ -13,7 +13,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.lines import FUNCTION_WORDS, Line, Reader, code_of, site_name, without_name
@@ -54,6 +55,8 @@ _HINTS = tuple(
     "|not available|robot|requests|rate limit|captcha|are human|unusual|went wrong|maintenance|script|skript|encontrad|existe|denegado|disponi|introuvable|refusé|interdit|gefunden|verweigert|erreichbar"
     "|verfügbar|negado|erro\xa00".split("|")
 )
+_HINT = "|".join(map(re.escape, _HINTS))
+_UNHINTED = re.compile(r"\W*(?:0|http|err|fehler)|.*indisponível", re.S)  # messages that need have no hint
 _SENTENCE = re.compile(r"(?<=[.!?…]) +")
 
 LEAST_PAGES, SHARE_OF = 4, 5  # a line recurs on a host with it on 4 pages and on a fifth of them
@@ -88,10 +91,24 @@ def is_residue(x: Line) -> bool:
     return is_filler(x)
 
 
+def hint(lines: list[Line]) -> None:
+    """Notes on lines whether they have a hint of a message; looked for in all of them at once."""
+    for x, found in zip(lines, pc.match_substring_regex(pa.array([x.low for x in lines], pa.string()), _HINT).to_pylist(), strict=True):
+        x.hinted = found
+
+
+def hinted(x: Line) -> bool:
+    return any(map(x.low.__contains__, _HINTS)) if x.hinted is None else x.hinted
+
+
+def has_message(x: Line) -> bool:
+    return (hinted(x) or _UNHINTED.match(x.low) is not None) and MESSAGE.search(x.low) is not None
+
+
 def besides(x: Line) -> tuple[bool, int, int]:
     """Whether the line holds a message, and the words and sentences of prose besides it, whatever its length."""
     low = x.low
-    if low[0] != "0" and not low.startswith("erro") and not any(map(low.__contains__, _HINTS)):
+    if low[0] != "0" and not low.startswith("erro") and not hinted(x):
         n = len(x.words)
         return (False, n, max(1, x.sentences)) if n >= 5 and x.function_share and (x.closed or x.sentences) else (False, 0, 0)
     pieces = _SENTENCE.split(low) if x.sentences > 1 else [low]
@@ -120,40 +137,45 @@ def _read(residue: bool, entry_of: Callable[[Line, bool | None], int] | None, fu
     """Per page its different lines: code, and as asked for evidence of residue and the kind of entry, and which lines are furniture. What isn't asked for is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        fresh: list[Line] = []
+        reader = Reader(made=fresh)
         told_furniture = furniture() if furniture else None
-        known: dict[tuple[str, str], tuple] = {}
-
-        def seen(x: Line, name: str) -> tuple:
-            key = (x.text, name)
-            made = known.get(key)
-            if made is None:
-                told = (is_residue(x), *besides(x)) if residue else (False, False, 0, 0)
-                made = (code_of(without_name(x.low, name)), *told, entry_of(x, told[0] if residue else None) if entry_of else 0, max(1, len(x.words)))
-                if len(x.text) < 120:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[key] = made
+        known: dict[str | tuple[str, str], tuple] = {}
+
+        def told_of(x: Line, name: str, key: str | tuple[str, str]) -> tuple:
+            evident, message, words, sentences = (is_residue(x), *besides(x)) if residue else (False, False, 0, 0)
+            entry = entry_of(x, evident if residue else None) if entry_of else 0
+            made = (code_of(without_name(x.low, name)), RESIDUE * evident + MESSAGING * message, not message and not evident and x.prose, words, sentences, entry, max(1, len(x.words)))
+            if len(x.text) < 120:
+                if len(known) > 200_000:
+                    known.clear()
+                known[key] = made
             return made
 
         for batch in (part.slice(k, 500) for part in batches for k in range(0, len(part), 500)):
             out: list[list] = [[] for _ in _TYPES]
             read: list[tuple[list[Line | None], str]] = []
+            rows: list[tuple[str, int | None]] = []
             for doc_id, text, host, site in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if not text or not text.strip():
-                    continue
-                name = site_name(host)
-                read.append((reader.page(text), name))
+                if text and text.strip():
+                    read.append((reader.page(text), site_name(host)))
+                    rows.append((doc_id, site))
+            hint(fresh)
+            fresh.clear()
+            for (doc_id, site), (page, name) in zip(rows, read, strict=True):
+                begins = name[:5]
                 lines: dict[int, list] = {}
                 long = 0
-                for x in read[-1][0]:
+                for x in page:
                     if x is None:
                         continue
-                    code, evident, message, words, sentences, entry, size = seen(x, name if name and name[:5] in x.low else "")
-                    long += not message and not evident and x.prose
+                    named = begins and begins in x.low
+                    key = (x.text, name) if named else x.text
+                    code, kind, prose, words, sentences, entry, size = known.get(key) or told_of(x, name if named else "", key)
+                    long += prose
                     own = lines.get(code)
                     if own is None:
-                        lines[code] = [RESIDUE * evident + MESSAGING * message, words, sentences, entry, size]
+                        lines[code] = [kind, words, sentences, entry, size]
                     else:
                         own[1] += words
                         own[2] += sentences
@@ -182,16 +204,29 @@ def lines_of(kept: DataFrame, residue: bool = True, entry_of: Callable[[Line, bo
     return cut_lineage(kept.select("doc_id", "text", "host", "site").mapInArrow(_read(residue, entry_of, furniture), _COLUMNS))
 
 
-def residue_of(rows: DataFrame) -> DataFrame:
-    """``(doc_id)`` of the pages to exclude, from the rows of lines_of."""
-    line = F.inline(F.arrays_zip("code", "kind", "words", "sentences"))
-    pages_of = rows.where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("pages"))
-    lines = rows.where("site IS NOT NULL").select("site", "bare", line)
-    has = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) > 0
+def has(bit: int) -> Column:
+    return F.col("kind").bitwiseAND(F.lit(bit)) > 0
+
+
+def site_counts(rows: DataFrame) -> DataFrame:
+    """Per site and code of a line the pages that have it, and how many of them are of which kind, from the rows of lines_of."""
+    lines = rows.where("site IS NOT NULL").select("site", "bare", F.inline(F.arrays_zip("code", "kind")))
     counted = lines.groupBy("site", "code").agg(
         F.count("*").alias("n"), F.sum(has(EVIDENCED).cast("int")).alias("evidenced"), F.sum(F.col("bare").cast("int")).alias("bare"), F.max(has(MESSAGING)).alias("message")
     )
-    counted = cut_lineage(counted)
+    return cut_lineage(counted)
+
+
+def recurrent(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``(site, code, n, recurs)`` of the lines that recur on their site; ``counted`` has site, code and n at least."""
+    pages_of = rows.where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("pages"))
+    return cut_lineage(counted.join(pages_of, "site").where((F.col("n") >= LEAST_PAGES) & (F.col("n") * SHARE_OF >= F.col("pages"))).select("site", "code", "n", F.lit(True).alias("recurs")))
+
+
+def residue_of(rows: DataFrame, counted: DataFrame | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """``(doc_id)`` of the pages to exclude, from the rows of lines_of; site_counts and recurrent of them are made unless given."""
+    line = F.inline(F.arrays_zip("code", "kind", "words", "sentences"))
+    counted = site_counts(rows) if counted is None else counted
     by_code = counted.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum("evidenced").alias("evidenced"), F.sum("bare").alias("bare"), F.max("message").alias("message"))
     by_code = by_code.where(F.col("hosts") >= HOSTS).select(
         "code", "n",
@@ -202,9 +237,9 @@ def residue_of(rows: DataFrame) -> DataFrame:
     learned = rows.select("doc_id", F.explode("code").alias("code")).join(by_code.where("evidence AND NOT notice").select("code"), "code", "left_semi").select("doc_id").distinct()
     # the residual of pages that may be found: their lines without those that recur on the host
     own = cut_lineage(rows.where("residue OR message").select("doc_id", "site", line).withColumn("residue", has(RESIDUE)).withColumn("message", has(MESSAGING)).drop("kind"))
-    sized = counted.join(pages_of, "site").where((F.col("n") >= LEAST_PAGES) & (F.col("n") * SHARE_OF >= F.col("pages"))).select("site", "code", "n", F.lit(True).alias("recurs"))
+    sized = recurrent(rows, counted) if sized is None else sized
     # a page without a site has no recurrent lines
-    residual = cut_lineage(join_by_weight(own, cut_lineage(sized), ["site", "code"], "n", how="left").where("recurs IS NULL").select("doc_id", "code", "residue", "message", "words", "sentences"))
+    residual = cut_lineage(join_by_weight(own, sized, ["site", "code"], "n", how="left").where("recurs IS NULL").select("doc_id", "code", "residue", "message", "words", "sentences"))
     told = join_by_weight(residual, by_code, ["code"], "n", how="left")
     shared, notice = F.col("n").isNotNull(), F.coalesce("notice", F.lit(False))
     judged = told.groupBy("doc_id").agg(

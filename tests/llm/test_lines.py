@@ -6,7 +6,7 @@ import pytest
 
 from lodestar.llm import body_model, keyword_pages, main_body, repeated_lines, residue
 from lodestar.llm.boosting import train
-from lodestar.llm.lines import Reader, folded, site_name, without_name
+from lodestar.llm.lines import _WORDS, Letters, Reader, folded, read_line, site_name, without_name
 
 PAGES = "doc_id string, text string, fetched_at timestamp, host string, line_no int"
 URLS = "id bigint, url string, text string"
@@ -206,6 +206,38 @@ def test_keyword_pages_have_no_rows(spark):
     assert main_body.furniture(pages, urls, edges).count() == 0
 
 
+def test_lines_are_counted_once_for_both_judges(spark, monkeypatch):
+    pages, urls = _tables(spark, _sites(2, 12))
+    keys, group_by = [], type(pages).groupBy
+    monkeypatch.setattr(type(pages), "groupBy", lambda df, *on: keys.append([str(k) for k in on]) or group_by(df, *on))
+    assert main_body.furniture(pages, urls, spark.createDataFrame([], EDGES)).count()
+    assert keys.count(["site", "code"]) == 1
+
+
+def test_letters_are_cut_as_by_the_pattern():
+    letters = Letters()
+    every = "a".join(map(chr, range(0x30000)))
+    texts = [every, every[: 2 << 15], "", "\n", " a\n\nb1c_d ’e’\r\nß²½ Ⅻ x\u0301", "𝔘nicode 😀 wörter\n𐐨b2"]
+    for text in texts:
+        assert [x.split() for x in letters.spaced(text).split("\n")] == [_WORDS.findall(x) for x in text.split("\n")]
+        assert letters.words(text) == _WORDS.findall(text)
+
+
+def test_hints_miss_no_message():
+    said = [
+        "404 Not Found", "0", "– erro: 500", "Fehler 404", "http: 403", "«Erreur» 12", "404: gone", "The page does not exist", "page doesn’t exist.", "no longer available", "Bad Gateway",
+        "gateway timeout", "Service temporarily unavailable", "Uncaught TypeError", "java.lang", "exception at line", "Access to this page is denied", "not authorised", "session expired",
+        "please log in", "sign in to", "not available in your region", "not a robot", "You are human", "under maintenance", "Enable JavaScript", "allow scripts", "ohne Skript", "sin script",
+        "no encontrada", "no existe", "no disponible", "accès refusé", "n’existe plus", "nicht gefunden", "nicht verfügbar", "indisponível", "acesso negado", "1", "A plain line of the page.",
+        "12 robots", "The error of his ways was plain", "Erroneous", "http and https",
+    ]
+    lines = [read_line(x) for x in said]
+    alone = [residue.has_message(x) for x in lines]
+    residue.hint(lines)
+    assert [residue.has_message(x) for x in lines] == alone == [residue.MESSAGE.search(x.low) is not None for x in lines]
+    assert any(alone) and not all(alone) and [residue.hinted(x) for x in lines] == [any(h in x.low for h in residue._HINTS) for x in lines]
+
+
 def test_decoding_is_consistent():
     # a run of furniture with one weak line goes as a whole, a clear line of another run stays
     margin = np.array([3.0, -0.4, 3.0, -6.0])
